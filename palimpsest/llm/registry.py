@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup
+from palimpsest.llm import exact_dedup, url_graph
 from palimpsest.llm.common import table
 
 
@@ -10,11 +10,17 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_url_graph(spark, sf_dir):
+    return url_graph.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_url_graph": op6_url_graph,
 }
 
 ORACLE_SQL = {
+    "op6_url_graph": url_graph.oracle_sql(),
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
