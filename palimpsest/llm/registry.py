@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup, url_graph
+from palimpsest.llm import decontaminate, exact_dedup, url_graph
 from palimpsest.llm.common import table
 
 
@@ -14,12 +14,18 @@ def op6_url_graph(spark, sf_dir):
     return url_graph.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_url_graph": op6_url_graph,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {
+    "op10_decontamination": decontaminate.oracle_sql(),
     "op6_url_graph": url_graph.oracle_sql(),
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)

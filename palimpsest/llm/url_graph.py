@@ -26,7 +26,7 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-DAMPING = 0.85
+DAMPING = 0.5
 ROUNDS = 8
 THRESHOLD = 0.5
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
