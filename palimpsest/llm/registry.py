@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, exact_dedup, url_graph
+from palimpsest.llm import decontaminate, exact_dedup, tokencount, url_graph
 from palimpsest.llm.common import table
 
 
@@ -18,9 +18,16 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_url_graph": op6_url_graph,
+    "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
 
