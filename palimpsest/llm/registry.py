@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, exact_dedup, tokencount, url_graph
+from palimpsest.llm import decontaminate, exact_dedup, langid, simhash, tokencount, url_graph
 from palimpsest.llm.common import table
 
 
@@ -24,9 +24,20 @@ def op9_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op8_simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_url_graph": op6_url_graph,
+    "op7_language_id": op7_language_id,
+    "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
 }
