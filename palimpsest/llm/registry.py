@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, exact_dedup, langid, simhash, tokencount, url_graph
+from palimpsest.llm import decontaminate, exact_dedup, langid, packing, paragraphs, simhash, tokencount, url_graph
 from palimpsest.llm.common import table
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_paragraph_dedup(spark, sf_dir):
+    return paragraphs.near_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op6_url_graph(spark, sf_dir):
     return url_graph.judge(table(spark, sf_dir, "pages"))
 
@@ -34,7 +42,9 @@ def op8_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_url_graph": op6_url_graph,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,

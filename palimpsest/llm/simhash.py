@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, materialize
+from palimpsest.llm.common import BROADCAST_BYTES, connected_components, materialize
 
 SEED = 42
 WORDS, RADIUS = 3, 3
@@ -115,20 +115,25 @@ class Forest:
         return x != y
 
 
-def _forest_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within the radius, shortest first; compared a strip at a time."""
+def _links_within(fps: np.ndarray, radius: int, all_up_to: int) -> list[tuple[int, int]]:
+    """The pairs within the radius; of more than ``all_up_to`` fingerprints a spanning forest, shortest first.
+
+    They are compared a strip at a time.
+    """
     found = []
     for at in range(0, len(fps), 64):
-        d = np.bitwise_count(fps[at : at + 64, None] ^ fps[None, at:])
+        d = np.bitwise_count(fps[at : at + 64, None] ^ fps[None, at:]).astype(np.int64)
         i, j = np.nonzero(d <= radius)
         keep = j > i
         found.append(np.stack([d[i[keep], j[keep]], i[keep] + at, j[keep] + at], 1))
     pairs = np.concatenate(found)
+    if len(fps) <= all_up_to:
+        return pairs[:, 1:].tolist()
     forest = Forest(len(fps))
     return [(i, j) for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist() if forest.join(i, j)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, all_up_to: int = 0) -> DataFrame:
     """Distinct fingerprints (fp) -> (a, b) links that connect every two within the radius of each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +143,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
             a, z = [], []
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own = fp[lo:hi]
-                for i, j in _forest_links(own, radius) if hi - lo > 2 else [(0, 1)] if (int(own[0]) ^ int(own[1])).bit_count() <= radius else []:
+                for i, j in _links_within(own, radius, all_up_to) if hi - lo > 2 else [(0, 1)] if (int(own[0]) ^ int(own[1])).bit_count() <= radius else []:
                     a.append(own[i])
                     z.append(own[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, z)], names=["a", "b"])
@@ -156,3 +161,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(least, "label").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def word_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, sh): the distinct shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "sh"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, sh array<long>")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of texts linked by that Jaccard similarity of word
+    shingles, the one with the smallest id stays. Covering hashing proposes, exact similarity decides.
+
+    Rows whose id is null stay. A wider radius than that of near_groups finds pairs that differ in more words.
+    """
+    rows = materialize(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    across = links(classes.select("fp"), radius, all_up_to=16)
+    across = across.join(classes.select(F.col("fp").alias("a"), F.col("first").alias("one")), "a").join(classes.select(F.col("fp").alias("b"), F.col("first").alias("two")), "b").select("one", "two")
+    within = rows.join(classes, "fp").where("id <> first").select(F.col("first").alias("one"), F.col("id").alias("two"))
+    proposed = materialize(across.unionByName(within).distinct())
+    ends = materialize(proposed.select(F.explode(F.array("one", "two")).alias("id")).distinct())
+    ends = F.broadcast(ends) if 40 * ends.count() <= BROADCAST_BYTES else ends
+    involved = docs.join(ends.withColumnRenamed("id", id_col), id_col, "left_semi").select(id_col, text_col)
+    sets = materialize(word_sets(involved, id_col, text_col, words))
+    pairs = proposed.join(sets.select(F.col("id").alias("one"), F.col("sh").alias("sh_one")), "one").join(sets.select(F.col("id").alias("two"), F.col("sh").alias("sh_two")), "two")
+    shared = F.size(F.array_intersect("sh_one", "sh_two"))
+    alike = F.coalesce(F.try_divide(shared, F.size("sh_one") + F.size("sh_two") - shared), F.lit(1.0)) >= similarity
+    labels = connected_components(pairs.where(alike).select(F.col("one").alias("a"), F.col("two").alias("b")))
+    least = labels.groupBy("label").agg(F.min("node").alias("first"))
+    gone = materialize(labels.join(least, "label").where("node <> first").select(F.col("node").alias(id_col)))
+    gone = F.broadcast(gone) if 40 * gone.count() <= BROADCAST_BYTES else gone
+    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
