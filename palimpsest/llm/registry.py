@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, exact_dedup, langid, packing, paragraphs, simhash, tokencount, url_graph
+from palimpsest.llm import decontaminate, exact_dedup, langid, packing, paragraphs, pii, simhash, tokencount, url_graph
 from palimpsest.llm.common import table
 
 
+def op1_pii_spans(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op8_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii_spans": op1_pii_spans,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_paragraph_dedup": op5_paragraph_dedup,
