@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, exact_dedup, langid, packing, paragraphs, pii, simhash, tokencount, url_graph
+from palimpsest.llm import decontaminate, exact_dedup, langid, packing, paragraphs, pii, simhash, suffixes, tokencount, url_graph
 from palimpsest.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffixes.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op5_paragraph_dedup(spark, sf_dir):
     return paragraphs.near_paragraphs(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_pii_spans": op1_pii_spans,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_url_graph": op6_url_graph,
     "op7_language_id": op7_language_id,
