@@ -132,9 +132,8 @@ def verified_links(blocks: DataFrame, similarity: float) -> DataFrame:
 
 def similar_links(classes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Classes (key, sh, sig) -> (a, b) links that connect all similar classes."""
-    banded = classes.select("key", F.posexplode("sig").alias("band", "hash"))
-    met = in_blocks(banded, ["band", "hash"], "key", ["key"], block)
-    sets = met.select(F.array_sort(F.array_distinct(F.transform("members", lambda m: m["key"]))).alias("keys")).distinct()
+    banded = classes.select(F.col("key").alias("member"), F.posexplode("sig").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "member")
+    sets = in_blocks(banded, "member", block).select(F.array_sort("members").alias("keys")).distinct()
     named = sets.select(F.xxhash64("keys").alias("block"), F.size("keys").alias("n"), F.explode("keys").alias("key"))
     filled = named.join(classes.select("key", "sh"), "key").groupBy("block", "n").agg(F.collect_list(F.struct("key", "sh")).alias("members"))
     return verified_links(filled.select("members"), similarity).distinct()

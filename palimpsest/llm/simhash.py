@@ -75,26 +75,27 @@ def covering_masks(radius: int) -> list[int]:
 
 
 def buckets(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp) -> (table, key, fp): a row per table."""
+    """(fp) -> (key, fp): a row per table, whose number is hashed into the key."""
     masks = F.array(*map(F.lit, covering_masks(radius)))
-    return fps.select("fp", F.posexplode(masks).alias("table", "mask")).select("table", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    return fps.select("fp", F.posexplode(masks).alias("table", "mask")).select(F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
 
 
-def in_blocks(rows: DataFrame, keys: list[str], member: str, payload: list[str], block: int) -> DataFrame:
-    """Rows that share ``keys``, as bounded pairs of blocks: (keys, one, two, members).
+def in_blocks(rows: DataFrame, member: str, block: int) -> DataFrame:
+    """(key, member) rows that share a key, as bounded pairs of blocks: (key, one, two, members).
 
-    ``members`` are structs (side, *payload); side 0 meets itself and side 1. A bucket of up to ``block`` rows is
-    one block; a larger one is dealt by a hash of ``member`` into as many as it takes, and each block meets
-    itself once and each other block once. Buckets of one row are left out.
+    Keys of one row drop out first. Those left are broadcast if they are few, so that the other rows never
+    shuffle, and joined otherwise. A key of up to ``block`` rows is one block; one of more is dealt by a hash of
+    the member into as many as it takes, and each block meets itself and each other block once.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = rows.join(sizes, keys)
-    few = sized.where(F.col("n") <= block).select(*keys, F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"), *payload)
+    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    sizes = F.broadcast(sizes) if 40 * sizes.count() <= BROADCAST_BYTES else sizes
+    sized = rows.join(sizes, "key")
+    few = sized.where(F.col("n") <= block).select("key", F.lit(0).alias("one"), F.lit(0).alias("two"), member)
     parts = F.ceil(F.col("n") / (block / 2)).cast("int")
     many = sized.where(F.col("n") > block).withColumn("p", parts).withColumn("own", F.pmod(F.xxhash64(member), F.col("p")).cast("int"))
     met = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    many = met.select(*keys, F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), *payload)
-    return few.unionByName(many).groupBy(*keys, "one", "two").agg(F.collect_list(F.struct("side", *payload)).alias("members"))
+    many = met.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), member)
+    return few.unionByName(many).groupBy("key", "one", "two").agg(F.collect_list(member).alias("members"))
 
 
 class Forest:
@@ -140,7 +141,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, all_up_to: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends = b.column(0).offsets.to_numpy()
-            fp = b.column(0).values.field(1).to_numpy().view(np.uint64)
+            fp = b.column(0).values.to_numpy().view(np.uint64)
             a, z = [], []
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own = fp[lo:hi]
@@ -149,7 +150,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, all_up_to: i
                     z.append(own[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, z)], names=["a", "b"])
 
-    met = in_blocks(buckets(fps, radius), ["table", "key"], "fp", ["fp"], block)
+    met = in_blocks(buckets(fps, radius), "fp", block)
     return met.select("members").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
