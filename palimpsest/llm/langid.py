@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import BROADCAST_BYTES
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -145,6 +147,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not n_langs:
         return None
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    counts = F.broadcast(counts) if 1000 * n_langs <= BROADCAST_BYTES else counts
     thinned = rows.join(counts, "lang").where(draw < F.lit(1.2 * train_docs / n_langs) / F.col("n"))
     start = lambda k: (F.pmod(F.xxhash64("id", F.lit(20 + k)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int")
     pieces = F.array(*[F.substring(F.col("text"), start(k), F.lit(WINDOW)) for k in range(TRAIN_WINDOWS)])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, materialize
+from palimpsest.llm.common import BROADCAST_BYTES, connected_components, materialize
 from palimpsest.llm.simhash import SEED, Forest, in_blocks
 
 WORDS, SIMILARITY = 5, 0.8
@@ -130,12 +130,18 @@ def verified_links(blocks: DataFrame, similarity: float) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long")
 
 
-def similar_links(classes: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Classes (key, sh, sig) -> (a, b) links that connect all similar classes."""
+def similar_links(classes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Classes (key, sig) and their shingles (key, sh) -> (a, b) links that connect all similar classes.
+
+    Shingles are fetched only for classes that collide with another.
+    """
     banded = classes.select(F.col("key").alias("member"), F.posexplode("sig").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "member")
-    sets = in_blocks(banded, "member", block).select(F.array_sort("members").alias("keys")).distinct()
-    named = sets.select(F.xxhash64("keys").alias("block"), F.size("keys").alias("n"), F.explode("keys").alias("key"))
-    filled = named.join(classes.select("key", "sh"), "key").groupBy("block", "n").agg(F.collect_list(F.struct("key", "sh")).alias("members"))
+    blocks = in_blocks(banded, "member", block).select(F.array_sort("members").alias("keys")).distinct()
+    named = materialize(blocks.select(F.xxhash64("keys").alias("block"), F.size("keys").alias("n"), F.explode("keys").alias("key")))
+    met = materialize(named.select("key").distinct())
+    met = F.broadcast(met) if 40 * met.count() <= BROADCAST_BYTES else met
+    some = sets.join(met, "key").groupBy("key").agg(F.first("sh").alias("sh"))
+    filled = named.join(some, "key").groupBy("block", "n").agg(F.collect_list(F.struct("key", "sh")).alias("members"))
     return verified_links(filled.select("members"), similarity).distinct()
 
 
@@ -145,8 +151,8 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = materialize(paragraph_rows(docs, id_col, text_col, min_words, words, bands, rows))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "paragraph")
     firsts = every.where("key is not null").groupBy("key").agg(F.min(place).alias("first"))
-    sets = every.where("sh is not null").groupBy("key").agg(F.first("sh").alias("sh"), F.first("sig").alias("sig"))
-    labels = connected_components(similar_links(materialize(sets), similarity))
+    classes = materialize(every.where("sig is not null").groupBy("key").agg(F.first("sig").alias("sig")))
+    labels = connected_components(similar_links(classes, every.where("sh is not null").select("key", "sh"), similarity))
     named = firsts.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("label"))
     named = materialize(named)
     least = named.groupBy("label").agg(F.min("first").alias("first"))

@@ -77,7 +77,8 @@ def covering_masks(radius: int) -> list[int]:
 def buckets(fps: DataFrame, radius: int) -> DataFrame:
     """(fp) -> (key, fp): a row per table, whose number is hashed into the key."""
     masks = F.array(*map(F.lit, covering_masks(radius)))
-    return fps.select("fp", F.posexplode(masks).alias("table", "mask")).select(F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+    spread = fps.repartition(F.col("fp"))  # a small table is read by few tasks, which would write all the rows
+    return spread.select("fp", F.posexplode(masks).alias("table", "mask")).select(F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
 
 
 def in_blocks(rows: DataFrame, member: str, block: int) -> DataFrame:
