@@ -14,14 +14,14 @@ REFUSALS = [
 
 
 def support_label(reply: Column) -> Column:
-    """SUPPORTED or NOT_SUPPORTED: the last of the words true and false decides; without them a negation does; else supported."""
+    """SUPPORTED or NOT_SUPPORTED: of true and false, the one that first occurs later decides; without them a negation
+    does; else supported."""
     low = F.lower(F.coalesce(reply, F.lit("")))
-    last = lambda w: F.length(low) - F.instr(F.reverse(low), w[::-1])
     has = lambda w: F.instr(low, w) > 0
     words = F.split(F.regexp_replace(low, r"[!-/:-@\[-`{-~]", ""), r"\s+")
     negated = F.arrays_overlap(words, F.array(*map(F.lit, ("not", "cannot", "unknown", "information"))))
     supported = (
-        F.when(has("true") & has("false"), last("true") > last("false")).when(has("true"), True).when(has("false"), False).otherwise(~negated)
+        F.when(has("true") & has("false"), F.instr(low, "true") > F.instr(low, "false")).when(has("true"), True).when(has("false"), False).otherwise(~negated)
     )
     return F.when(supported, "SUPPORTED").otherwise("NOT_SUPPORTED")
 

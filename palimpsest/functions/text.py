@@ -78,7 +78,7 @@ def topic(text: Column, fallback: Column, size: int = 200) -> Column:
 
 def decode_spans(spans: Column, text: Column) -> Column:
     """Text of ``start:end[,start:end]`` (0-based, half open), parts joined by a space; NULL if it can't be parsed."""
-    pairs = F.transform(F.filter(F.split(spans, ","), lambda s: F.trim(s) != ""), lambda s: F.transform(F.split(s, ":"), lambda x: x.try_cast("int")))
+    pairs = F.transform(F.split(spans, ","), lambda s: F.transform(F.split(s, ":"), lambda x: x.try_cast("int")))
     fine = F.forall(pairs, lambda p: (F.size(p) == 2) & F.get(p, 0).isNotNull() & F.get(p, 1).isNotNull() & (F.get(p, 0) >= 0))
     parts = F.transform(pairs, lambda p: F.trim(F.substring(text, F.get(p, 0) + 1, F.greatest(F.get(p, 1) - F.get(p, 0), F.lit(0)))))
     joined = F.array_join(F.filter(parts, lambda x: x != ""), " ")
@@ -92,18 +92,19 @@ def votes(cell: Column) -> Column:
 
 
 def atomic_facts(block: Column) -> Column:
-    """Facts of the first run of ``- `` lines, each ended with a full stop unless it has final punctuation."""
+    """Facts of the first run of ``- `` lines, each ended with a full stop unless it ends in punctuation."""
     start = F.struct(F.array().cast("array<string>").alias("facts"), F.lit(False).alias("done"))
 
     def step(acc: Column, line: Column) -> Column:
         item = F.trim(line)
         fact = F.trim(F.substring(item, 3, 1_000_000))
-        ended = F.when(fact.rlike(r"[.!?]$"), fact).otherwise(F.concat(fact, F.lit(".")))
+        ended = F.when(fact.rlike(PUNCTUATION + "$"), fact).otherwise(F.concat(fact, F.lit(".")))
         take = ~acc["done"] & item.startswith("- ")
         stop = acc["done"] | (~item.startswith("- ") & (F.size(acc["facts"]) > 0))
         return F.struct(F.when(take & (fact != ""), F.concat(acc["facts"], F.array(ended))).otherwise(acc["facts"]).alias("facts"), stop.alias("done"))
 
-    return F.aggregate(F.split(F.coalesce(block, F.lit("")), "\n"), start, step, lambda acc: acc["facts"])
+    text = F.regexp_replace(F.replace(F.coalesce(block, F.lit("")), F.lit("<|eot_id|>"), F.lit("")), r"-\s*\n", "")
+    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["facts"])
 
 
 def sentences(text: Column) -> Column:
