@@ -7,7 +7,7 @@ name in both places, so windows whose least name occurs in one document are uniq
 rest are sent, as runs of windows that share it, to where that name is sorted; there the names are doubled on to
 32 and to the threshold, and equal ones ranked by document: all but the first document's are covered (round two).
 Rows are combined before each shuffle, and names that very many documents share are sorted by whole windows
-instead, so that no group is gathered in one task.
+instead, so that no group is gathered in one task. Texts that are whole copies of an earlier one drop out before.
 
 Defined cases: null text is empty; texts below the threshold have nothing removed; a row whose doc_id is null is
 returned whole and covers nothing; rows that repeat a doc_id don't cover each other; matches are judged on the
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import BROADCAST_BYTES, materialize
 
 LENGTH, GRAM = 50, 16
 #: Bytes worked on together; longer texts are cut with an overlap.
@@ -289,6 +289,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def whole_copies(rows: DataFrame, length: int) -> DataFrame:
+    """(doc, n_bytes) of the texts, at least ``length`` long, that are equal to one with a smaller id.
+
+    Every window of such a text starts in that document, so its rows need no search; and any window it could
+    cover elsewhere the first of its kind covers too. Ids that repeat are left to the search.
+    """
+    narrow = materialize(rows.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")))
+    again = narrow.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
+    long_ = narrow.where(F.col("n_bytes") >= length)
+    firsts = long_.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    return long_.join(firsts, "digest").where("doc > first").join(again, "doc", "left_anti").select("doc", "n_bytes")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, spans): per document with any, the byte stretches (start, stop) to remove; they may overlap."""
     spark = docs.sparkSession
@@ -297,12 +310,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spark.conf.set(KEEP_FILES, "true")  # each step is read back from its table, its shuffle files aren't needed
     try:
         rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
+        copies = materialize(whole_copies(rows, length))
+        rows = rows.join(F.broadcast(copies) if 40 * copies.count() <= BROADCAST_BYTES else copies, "doc", "left_anti")
         found = materialize(repeated_names(sampled_names(rows, length, gram)))
         total = max(HOT_DOCS, found.where("doc is not null").count() // HOT_SHARE)
         hot = np.array([r[0] for r in found.where(F.col("doc").isNull() & (F.col("total") > total)).select("name").collect()], np.int64).view(np.uint64)
         lists = found.where("doc is not null").groupBy("doc").agg(F.collect_list("name").alias("names"))
         runs = window_runs(rows.join(lists.hint("shuffle_hash"), "doc").select("doc", "text", "names"), hot, length, gram)
-        covered = materialize(covered_runs(runs, length))
+        covered = materialize(covered_runs(runs, length)).unionByName(copies.select("doc", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     finally:
         if before is not None:
             spark.conf.set(KEEP_FILES, before)
