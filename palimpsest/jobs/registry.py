@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from palimpsest.jobs import stats_jobs, text_jobs
+
+FLAGSHIP = "rewrite_similarity"
+_JOBS = text_jobs.JOBS | stats_jobs.JOBS
+QUERIES = {name: job for name, (job, _) in _JOBS.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _JOBS.items() if sql is not None}

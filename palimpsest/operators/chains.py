@@ -89,8 +89,8 @@ def episodes(scores: DataFrame, keys: list[str], threshold: float, value: str =
     )
 
 
-def rewriting_plan(questions: DataFrame, instructions: DataFrame, wordings: int, repetitions: int = 1) -> DataFrame:
-    """Questions x instructions x wordings x repetitions; the instruction table has a handful of rows."""
-    runs = F.explode(F.sequence(F.lit(0), F.lit(wordings - 1))).alias("run")
-    plan = questions.select("qid").join(F.broadcast(instructions), F.lit(True)).select("qid", *instructions.columns, runs)
+def rewriting_plan(questions: DataFrame, instructions: list[tuple[str, str]], wordings: int, repetitions: int = 1) -> DataFrame:
+    """Questions x (group, instruction_type) x wordings x repetitions, each row spread where it is."""
+    kinds = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(i).alias("instruction_type")) for g, i in instructions])
+    plan = questions.select("qid", F.explode(kinds).alias("k")).select("qid", "k.*", F.explode(F.sequence(F.lit(0), F.lit(wordings - 1))).alias("run"))
     return plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition")) if repetitions > 1 else plan

@@ -92,15 +92,16 @@ def repeated_correlation(df: DataFrame, subject: str, x: str, y: str) -> DataFra
 
 
 def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
-    """chi2, G, df, Cramer's V and the least expected count of a table of counts."""
+    """chi2, G, df, Cramer's V and the least expected count of a table of counts.
+
+    Cells without rows add nothing to sum(o^2 / (row * column)) nor to G, so only those with rows are made.
+    """
     cells = df.groupBy(row, column).agg(F.count(F.lit(1)).alias("o"))
-    rows, cols = cells.groupBy(row).agg(F.sum("o").alias("rt")), cells.groupBy(column).agg(F.sum("o").alias("ct"))
-    full = rows.join(F.broadcast(cols), F.lit(True)).join(cells, [row, column], "left").na.fill(0, ["o"])
-    total = Window.partitionBy()
-    e = full.withColumn("n", F.sum("o").over(total)).withColumn("e", F.col("rt") * F.col("ct") / F.col("n"))
+    rt, ct, n = F.sum("o").over(Window.partitionBy(row)), F.sum("o").over(Window.partitionBy(column)), F.sum("o").over(Window.partitionBy())
+    e = cells.withColumns({"rt": rt, "ct": ct, "n": n}).withColumn("q", F.col("o") * F.col("o") / (F.col("rt") * F.col("ct")))
     out = e.agg(
-        F.sum((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / F.col("e")).alias("chi2"), F.sum(F.when(F.col("o") > 0, 2 * F.col("o") * F.ln(F.col("o") / F.col("e"))).otherwise(0.0)).alias("g"),
-        F.min("e").alias("least"), F.count_distinct(row).alias("r"), F.count_distinct(column).alias("c"), F.max("n").alias("n"),
-    )
+        F.sum("q").alias("q"), F.sum(2 * F.col("o") * F.ln(F.col("o") * F.col("n") / (F.col("rt") * F.col("ct")))).alias("g"),
+        (F.min("rt") * F.min("ct") / F.max("n")).alias("least"), F.count_distinct(row).alias("r"), F.count_distinct(column).alias("c"), F.max("n").alias("n"),
+    ).withColumn("chi2", F.col("n") * (F.col("q") - 1))
     k = F.least("r", "c") - 1
     return out.select(F.round("chi2", 6).alias("chi2"), F.round("g", 6).alias("g_test"), ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), F.round(F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * k)), 6).alias("cramers_v"), F.round("least", 6).alias("least_expected"), "n")
