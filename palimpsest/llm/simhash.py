@@ -29,7 +29,7 @@ from palimpsest.llm.common import BROADCAST_BYTES, connected_components, materia
 
 SEED = 42
 WORDS, RADIUS = 3, 3
-BLOCK = 256
+BLOCK = 4096
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -77,7 +77,8 @@ def covering_masks(radius: int) -> list[int]:
 def buckets(fps: DataFrame, radius: int) -> DataFrame:
     """(fp) -> (key, fp): a row per table, whose number is hashed into the key."""
     masks = F.array(*map(F.lit, covering_masks(radius)))
-    spread = fps.repartition(F.col("fp"))  # a small table is read by few tasks, which would write all the rows
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = fps.repartition(tasks, "fp")  # a small table is read by few tasks, which would write all the rows
     return spread.select("fp", F.posexplode(masks).alias("table", "mask")).select(F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
 
 
@@ -119,21 +120,32 @@ class Forest:
 
 
 def _links_within(fps: np.ndarray, radius: int, all_up_to: int) -> list[tuple[int, int]]:
-    """The pairs within the radius; of more than ``all_up_to`` fingerprints a spanning forest, shortest first.
+    """The pairs within the radius; of more than ``all_up_to`` fingerprints a minimum spanning forest of them.
 
-    They are compared a strip at a time.
+    The forest of many grows one fingerprint at a time, from the nearest outside it, in memory that is
+    proportional to their number.
     """
-    found = []
-    for at in range(0, len(fps), 64):
-        d = np.bitwise_count(fps[at : at + 64, None] ^ fps[None, at:]).astype(np.int64)
-        i, j = np.nonzero(d <= radius)
-        keep = j > i
-        found.append(np.stack([d[i[keep], j[keep]], i[keep] + at, j[keep] + at], 1))
-    pairs = np.concatenate(found)
-    if len(fps) <= all_up_to:
-        return pairs[:, 1:].tolist()
-    forest = Forest(len(fps))
-    return [(i, j) for _, i, j in pairs[np.argsort(pairs[:, 0], kind="stable")].tolist() if forest.join(i, j)]
+    n = len(fps)
+    if n <= 16:
+        d = np.bitwise_count(fps[:, None] ^ fps[None])
+        i, j = np.nonzero(np.triu(d <= radius, 1))
+        if n <= all_up_to:
+            return list(zip(i.tolist(), j.tolist(), strict=True))
+        forest = Forest(n)
+        return [(i, j) for _, i, j in sorted(zip(d[i, j].tolist(), i.tolist(), j.tolist(), strict=True)) if forest.join(i, j)]
+    found, near, via = [], np.full(n, 99, np.int64), np.zeros(n, np.int64)
+    out = np.ones(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        out[at] = False
+        d = np.bitwise_count(fps ^ fps[at]).astype(np.int64)
+        closer = d < near
+        near[closer], via[closer] = d[closer], at
+        nxt = int(np.where(out, near, 100).argmin())
+        if near[nxt] <= radius:
+            found.append((int(via[nxt]), nxt))
+        at = nxt
+    return found
 
 
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, all_up_to: int = 0) -> DataFrame:
