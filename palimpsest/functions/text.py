@@ -66,13 +66,13 @@ def hops(qid: Column, missing: Column | None = None) -> Column:
 
 def aliases(text: Column, gold: Column, sep: str = r"\|\|") -> Column:
     """Trimmed alias list of a joined cell, the gold answer put first if it is not in it."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sep), F.trim), lambda a: a != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sep), lambda x: F.trim(x)), lambda a: a != "")
     return F.when(gold.isNull() | F.array_contains(parts, gold), parts).otherwise(F.concat(F.array(gold), parts))
 
 
 def topic(text: Column, fallback: Column, size: int = 200) -> Column:
     """The first line that isn't blank, cut to ``size`` characters."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.substring(F.get(lines, 0), 1, size), fallback)
 
 
@@ -110,8 +110,8 @@ def atomic_facts(block: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences by a rule: after . ! or ? and white space, unless a single initial stands before; a line break ends one.
     Sentences of one word are joined to the one before. An approximation, as no trained tokenizer is at hand."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<![\s.][A-Z])([.!?])\s+", "$1\n")
-    parts = F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: s != "")
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<!(?:^|[\s.])[A-Z])([.!?])\s+", "$1\n")
+    parts = F.filter(F.transform(F.split(marked, "\n"), lambda x: F.trim(x)), lambda s: s != "")
 
     def step(acc: Column, s: Column) -> Column:
         single = ~s.contains(" ") & (F.size(acc) > 0)
