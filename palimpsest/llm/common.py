@@ -67,8 +67,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     left = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null"))
     labels: DataFrame | None = None
     for round_ in range(max_rounds):
-        ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))).alias("e")).select("e.*")
-        step = materialize(ends.groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.xxhash64("b", F.lit(round_))).alias("label")))
+        ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        draw = lambda c: F.xxhash64(c, F.lit(round_))
+        first = ends.groupBy(F.col("a").alias("node")).agg(F.min_by("b", draw("b")).alias("other"))
+        step = materialize(first.select("node", F.when(draw("other") < draw("node"), F.col("other")).otherwise(F.col("node")).alias("label")))
         if labels is None:
             labels = step
         else:

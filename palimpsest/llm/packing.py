@@ -77,7 +77,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     shards = max(1, -(-total // shard_rows))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "n_tokens"), F.lit(shards)))
 
-    def run(_key, shard: pd.DataFrame) -> pd.DataFrame:
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], kind="stable")
         some = shard["n_tokens"].to_numpy() > 0
         b, o, f = pack(shard["n_tokens"].to_numpy()[some], lengths, overhead)

@@ -31,7 +31,7 @@ from palimpsest.llm.simhash import SEED, Forest, in_blocks
 WORDS, SIMILARITY = 5, 0.8
 MIN_WORDS = 20
 HASHES, RECALL = 40, 0.999
-BLOCK = 64
+BLOCK = 256
 
 
 def tune(similarity: float = SIMILARITY, hashes: int = HASHES, recall: float = RECALL) -> tuple[int, int]:
