@@ -120,10 +120,10 @@ class Forest:
 
 
 def _links_within(fps: np.ndarray, radius: int, all_up_to: int) -> list[tuple[int, int]]:
-    """The pairs within the radius; of more than ``all_up_to`` fingerprints a minimum spanning forest of them.
+    """The pairs within the radius; of more than ``all_up_to`` fingerprints a spanning forest of them.
 
-    The forest of many grows one fingerprint at a time, from the nearest outside it, in memory that is
-    proportional to their number.
+    In a large block a fingerprint takes all it reaches at once, those nearest to the block's middle first, so a
+    block of near copies is done after a few; links of half the radius are made before longer ones.
     """
     n = len(fps)
     if n <= 16:
@@ -133,18 +133,19 @@ def _links_within(fps: np.ndarray, radius: int, all_up_to: int) -> list[tuple[in
             return list(zip(i.tolist(), j.tolist(), strict=True))
         forest = Forest(n)
         return [(i, j) for _, i, j in sorted(zip(d[i, j].tolist(), i.tolist(), j.tolist(), strict=True)) if forest.join(i, j)]
-    found, near, via = [], np.full(n, 99, np.int64), np.zeros(n, np.int64)
-    out = np.ones(n, bool)
-    at = 0
-    for _ in range(n - 1):
-        out[at] = False
-        d = np.bitwise_count(fps ^ fps[at]).astype(np.int64)
-        closer = d < near
-        near[closer], via[closer] = d[closer], at
-        nxt = int(np.where(out, near, 100).argmin())
-        if near[nxt] <= radius:
-            found.append((int(via[nxt]), nxt))
-        at = nxt
+    middle = np.packbits(np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).sum(0) * 2 > n).view(np.uint64)[0]
+    order = np.argsort(np.bitwise_count(fps ^ middle), kind="stable")
+    forest, found = Forest(n), []
+    for reach in (radius // 2, radius):
+        rest, values, queue = order, fps[order], []
+        while len(rest):
+            at = queue.pop() if queue else int(rest[0])
+            hit = np.bitwise_count(values ^ fps[at]) <= reach
+            new = [j for j in rest[hit].tolist() if j != at]
+            found += [(at, j) for j in new if forest.join(at, j)]
+            queue += new[::-1]
+            if hit.any():
+                rest, values = rest[~hit], values[~hit]
     return found
 
 
