@@ -179,43 +179,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def word_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, sh): the distinct shingle hashes of each text."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies, which shingles decide and not fingerprints: see ``near_copies``."""
+    from palimpsest.llm import near_copies  # which imports this module
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "sh"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, sh array<long>")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group of texts linked by that Jaccard similarity of word
-    shingles, the one with the smallest id stays. Covering hashing proposes, exact similarity decides.
-
-    The fingerprints are of distinct single words, as a changed word changes ``words`` shingles but one word; at
-    the default radius they propose 96 % of the pairs at the threshold (measured on 10,000 documents).
-    Rows whose id is null stay.
-    """
-    rows = materialize(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words=1, distinct=True))
-    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    across = links(classes.select("fp"), radius, all_up_to=16)
-    across = across.join(classes.select(F.col("fp").alias("a"), F.col("first").alias("one")), "a").join(classes.select(F.col("fp").alias("b"), F.col("first").alias("two")), "b").select("one", "two")
-    within = rows.join(classes, "fp").where("id <> first").select(F.col("first").alias("one"), F.col("id").alias("two"))
-    proposed = materialize(across.unionByName(within).distinct())
-    ends = materialize(proposed.select(F.explode(F.array("one", "two")).alias("id")).distinct())
-    ends = F.broadcast(ends) if 40 * ends.count() <= BROADCAST_BYTES else ends
-    involved = docs.join(ends.withColumnRenamed("id", id_col), id_col, "left_semi").select(id_col, text_col)
-    sets = materialize(word_sets(involved, id_col, text_col, words))
-    pairs = proposed.join(sets.select(F.col("id").alias("one"), F.col("sh").alias("sh_one")), "one").join(sets.select(F.col("id").alias("two"), F.col("sh").alias("sh_two")), "two")
-    shared = F.size(F.array_intersect("sh_one", "sh_two"))
-    alike = F.coalesce(F.try_divide(shared, F.size("sh_one") + F.size("sh_two") - shared), F.lit(1.0)) >= similarity
-    labels = connected_components(pairs.where(alike).select(F.col("one").alias("a"), F.col("two").alias("b")))
-    least = labels.groupBy("label").agg(F.min("node").alias("first"))
-    gone = materialize(labels.join(least, "label").where("node <> first").select(F.col("node").alias(id_col)))
-    gone = F.broadcast(gone) if 40 * gone.count() <= BROADCAST_BYTES else gone
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return near_copies.drop_near_copies(docs, id_col, text_col)
