@@ -76,3 +76,10 @@ def test_empty_and_null(spark):
     got = simhash.drop_near_copies(df)
     assert got.columns == df.columns and {r.doc_id for r in got.collect()} == {1, 4, None}
     assert simhash.drop_near_copies(df.where(F.col("doc_id") > 9)).count() == 0
+
+
+def test_short_texts_of_one_edit(spark):
+    rng = np.random.default_rng(2)
+    base = [words_of(60, rng) for _ in range(150)]
+    texts = [*base, *(edited(w, 1, rng) for w in base)]
+    assert kept(spark, texts) == kept_of_all_pairs(texts) and len(kept_of_all_pairs(texts)) < 160
