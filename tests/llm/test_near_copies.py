@@ -83,3 +83,13 @@ def test_short_texts_of_one_edit(spark):
     base = [words_of(60, rng) for _ in range(150)]
     texts = [*base, *(edited(w, 1, rng) for w in base)]
     assert kept(spark, texts) == kept_of_all_pairs(texts) and len(kept_of_all_pairs(texts)) < 160
+
+
+def test_one_vocabulary_in_other_orders(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(20):
+        a = words_of(80, rng)
+        b = [a[k] for k in rng.permutation(80)]
+        texts += [a, b, [*b[:-2], b[-1], b[-2]]]
+    assert kept(spark, texts) == kept_of_all_pairs(texts) == {k for k in range(60) if k % 3 < 2}
