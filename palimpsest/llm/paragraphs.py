@@ -7,7 +7,7 @@ equal blocks of several bands are compared once, each pair not yet connected is
 similarity, and connected components of the verified links decide: of each component the first paragraph, by
 doc_id and place, stays.
 
-Paragraphs below ``MIN_WORDS`` words are no passages: they are returned, as their own class, and stay. Classes
+Paragraphs below ``MIN_WORDS`` words do not fill a shingle: they are returned, as their own class, and stay. Classes
 are told apart by a 64-bit hash of their words.
 
 Defined cases: null text is empty and has one empty paragraph; null doc_ids come after all others; repeated rows
@@ -29,7 +29,7 @@ from palimpsest.llm.common import BROADCAST_BYTES, connected_components, materia
 from palimpsest.llm.simhash import SEED, Forest, in_blocks
 
 WORDS, SIMILARITY = 5, 0.8
-MIN_WORDS = 20
+MIN_WORDS = WORDS
 HASHES, RECALL = 40, 0.999
 BLOCK = 256
 
