@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -55,6 +56,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def maybe_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows are few enough; else any join shuffles it.
+
+    ``row_bytes``: what a row takes in memory, at most. Tables with columns of varying width are not for this.
+    """
+    return F.broadcast(df) if row_bytes * df.count() <= BROADCAST_BYTES else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are done.
+
+    Spark removes them once the driver's garbage collector finds their plans unused, which may be never in a driver
+    with a large heap; after a step that shuffled a multiple of the input this is worth a collection.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links over long node ids -> (node, label): one row per linked node, equal labels iff connected.
 

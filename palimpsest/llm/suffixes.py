@@ -1,17 +1,18 @@
 """Repeated byte strings across documents, by sparse distributed prefix doubling.
 
 Ranks of all positions would be shuffled at each doubling, many times the text. Here positions carry names (64-bit
-hashes that stand for ranks, formed by doubling: 1, 2, 4, 8, 16 bytes), and of the names of length 16 only those
-are shuffled that are the least in some window of the threshold's length. A repeated window has the same least
-name in both places, so windows whose least name occurs in one document are unique and drop out (round one). The
+hashes that stand for ranks, formed by doubling: 1, 2, 4, 8, 16 and 24 bytes), and of the names of length 24 only
+those are shuffled that are the least in some window of the threshold's length. A repeated window has the same least
+name in both places, so windows whose least name occurs in one row only are unique and drop out (round one). The
 rest are sent, as runs of windows that share it, to where that name is sorted; there the names are doubled on to
-32 and to the threshold, and equal ones ranked by document: all but the first document's are covered (round two).
-Rows are combined before each shuffle, and names that very many documents share are sorted by whole windows
-instead, so that no group is gathered in one task. Texts that are whole copies of an earlier one drop out before.
-
-Defined cases: null text is empty; texts below the threshold have nothing removed; a row whose doc_id is null is
-returned whole and covers nothing; rows that repeat a doc_id don't cover each other; matches are judged on the
-input; names are 64-bit hashes, and equal names count as equal strings.
+the threshold, and equal windows, compared byte by byte, are ranked by document: all but those of the first document
+are covered (round two). Rows are combined before each shuffle, and runs of names that many rows share are dealt by
+their single windows instead, so that no group is gathered in one task. Texts that are whole copies of an earlier
+one drop out before.
+
+Defined cases: ids are whole numbers (others raise); null text is empty; texts below the threshold have nothing
+removed; a row whose doc_id is null is returned whole and covers nothing; rows that repeat a doc_id are judged each by
+its own text and don't cover each other; matches are judged on the input; further columns of ``docs`` play no part.
 """
 
 from __future__ import annotations
@@ -21,20 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from palimpsest.llm.common import BROADCAST_BYTES, materialize
+from palimpsest.llm.common import maybe_broadcast, materialize, release, ship_package
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Bytes worked on together; longer texts are cut with an overlap.
 BLOCK = 1 << 21
-#: A name in more documents than this, and than one in HOT_SHARE of all rows, is sorted by whole windows. So there
-#: are at most HOT_SHARE such names, whatever the input, which bounds what is broadcast.
-HOT_DOCS, HOT_SHARE = 256, 50_000
+#: Runs of a name in more rows than this are dealt by single windows.
+HOT_ROWS = 256
+#: Pieces into which the rows of one text are dealt before they are summed up.
+SALTS = 32
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64)
-KEEP_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _double(t: np.ndarray, by: int) -> np.ndarray:
@@ -66,217 +69,247 @@ def least_names(grams: np.ndarray, width: int) -> np.ndarray:
 class Block:
     """Some texts, or pieces of them, side by side, with the least names of their windows."""
 
-    def __init__(self, docs: list[int], offsets: list[int], parts: list[np.ndarray], length: int, gram: int):
+    def __init__(self, rows: list[int], offsets: list[int], parts: list[np.ndarray], length: int, gram: int):
         self.length, self.gram = length, gram
         sizes = np.array([len(p) for p in parts], np.int64)
         self.data = np.concatenate(parts)
-        self.docs, self.offsets = np.array(docs, np.int64), np.array(offsets, np.int64)
+        self.rows, self.offsets = np.array(rows, np.int64), np.array(offsets, np.int64)
         ends = np.cumsum(sizes)
         self.starts = ends - sizes
         n = max(0, len(self.data) - length + 1)
         self.part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)[:n]
         self.valid = np.arange(n) + length <= ends[self.part]
-        self.grams = names(self.data, gram)
-        self.least = least_names(self.grams, length - gram + 1)[:n]
+        self.least = least_names(names(self.data, gram), length - gram + 1)[:n]
 
-    def runs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and past-the-last window of each run of wanted windows with one least name in one text."""
+    def runs(self, wanted: np.ndarray, by_name: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """First and past-the-last window of each run of wanted windows in one text (and with one least name)."""
         if not len(wanted):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         same = np.zeros(len(wanted), bool)
-        same[1:] = wanted[1:] & wanted[:-1] & (self.least[1:] == self.least[:-1]) & (self.part[1:] == self.part[:-1])
-        first = np.flatnonzero(wanted & ~same)
-        past = np.flatnonzero(wanted & ~np.append(same[1:], False)) + 1
-        return first, past
-
-
-def _blocks(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[Block, int, int]]:
-    """Blocks of a batch of (doc, text, ...) with the range of its rows they hold."""
-    docs, offsets, parts, size, since = [], [], [], 0, 0
-    ids = batch.column(0).to_pylist()
-    for k, t in enumerate(batch.column(1)):
+        same[1:] = wanted[1:] & wanted[:-1] & (self.part[1:] == self.part[:-1])
+        if by_name:
+            same[1:] &= self.least[1:] == self.least[:-1]
+        return np.flatnonzero(wanted & ~same), np.flatnonzero(wanted & ~np.append(same[1:], False)) + 1
+
+    def within(self, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+        """The windows of these runs."""
+        change = np.zeros(len(self.valid) + 1, np.int32)
+        np.add.at(change, first, 1)
+        np.add.at(change, past, -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def places(self, first: np.ndarray, past: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The row in the batch of each run, and the bytes it covers there."""
+        part = self.part[first]
+        start = first - self.starts[part] + self.offsets[part]
+        return self.rows[part], start, start + past - first + self.length - 1
+
+
+def _blocks(batch: pa.RecordBatch, text: int, length: int, gram: int) -> Iterator[Block]:
+    """Blocks of the texts of a batch, in order."""
+    rows, offsets, parts, size = [], [], [], 0
+    for k, t in enumerate(batch.column(text)):
         raw = t.as_buffer()
         view = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
         for at in range(0, max(1, len(view) - length + 1), BLOCK):
             piece = view[at : at + BLOCK + length - 1]
             if len(piece) < length:
                 continue
-            docs.append(ids[k])
+            rows.append(k)
             offsets.append(at)
             parts.append(piece)
             size += len(piece)
             if size >= BLOCK:
-                yield Block(docs, offsets, parts, length, gram), since, k + 1
-                docs, offsets, parts, size, since = [], [], [], 0, k
+                yield Block(rows, offsets, parts, length, gram)
+                rows, offsets, parts, size = [], [], [], 0
     if parts:
-        yield Block(docs, offsets, parts, length, gram), since, batch.num_rows
+        yield Block(rows, offsets, parts, length, gram)
 
 
 def sampled_names(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, text) -> (name, doc, n): each least name of a text.
+    """(row, text) -> (name, row, n): each least name of a text.
 
     Names that several texts of a block share give one row with their number, and n = -1 rows for the texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, _, _ in _blocks(b, length, gram):
+            ids = b.column(0).to_numpy()
+            for block in _blocks(b, 1, length, gram):
                 first, _ = block.runs(block.valid)
-                name, doc = block.least[first], block.docs[block.part[first]]
-                order = np.lexsort((doc, name))
-                name, doc = name[order], doc[order]
-                fresh = np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])) if len(name) else np.zeros(0, bool)
-                name, doc = name[fresh], doc[fresh]
+                name, row = block.least[first], ids[block.rows[block.part[first]]]
+                order = np.lexsort((row, name))
+                name, row = name[order], row[order]
+                fresh = np.append(True, (name[1:] != name[:-1]) | (row[1:] != row[:-1])) if len(name) else np.zeros(0, bool)
+                name, row = name[fresh], row[fresh]
                 head = np.append(True, name[1:] != name[:-1]) if len(name) else np.zeros(0, bool)
                 at = np.flatnonzero(head)
                 n = np.diff(np.append(at, len(name)))
                 shared = np.repeat(n > 1, n)
-                out = [np.concatenate([name[at], name[shared]]).view(np.int64), np.concatenate([doc[at], doc[shared]]), np.concatenate([n, np.full(shared.sum(), -1)]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["name", "doc", "n"])
+                out = [np.concatenate([name[at], name[shared]]).view(np.int64), np.concatenate([row[at], row[shared]]), np.concatenate([n, np.full(shared.sum(), -1)]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["name", "row", "n"])
 
-    return rows.mapInArrow(run, "name long, doc long, n int")
+    return rows.select("row", "text").mapInArrow(run, "name long, row long, n int")
 
 
 def repeated_names(sampled: DataFrame) -> DataFrame:
-    """-> (name, doc, total): the names that occur in several documents, a row per document; and, with null doc,
-    the number of documents of those in many."""
+    """-> (name, row, total): the names that occur in several rows, once for each; and, with null row, the number of
+    rows of those in many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = ["name", "doc", "total"]
+        kinds = ["name", "row", "total"]
         gathered = []
         for b in batches:
-            name, doc, n = (b.column(k).to_numpy() for k in range(3))
+            name, row, n = (b.column(k).to_numpy() for k in range(3))
             known = n < 0
             if known.any():
-                yield pa.RecordBatch.from_arrays([pa.array(name[known]), pa.array(doc[known]), pa.nulls(int(known.sum()), pa.int64())], names=kinds)
-            gathered.append((name[~known], doc[~known], n[~known]))
-        if not gathered:
-            return
-        name, doc, n = (np.concatenate(x) for x in zip(*gathered, strict=True))
-        order = np.argsort(name, kind="stable")
-        name, doc, n = name[order], doc[order], n[order].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(name[known]), pa.array(row[known]), pa.nulls(int(known.sum()), pa.int64())], names=kinds)
+            gathered.append((name[~known], row[~known], n[~known]))
+        name, row, n = (np.concatenate(x) for x in zip(*gathered, strict=True)) if gathered else (np.zeros(0, np.int64),) * 3
         if not len(name):
             return
+        order = np.argsort(name, kind="stable")
+        name, row, n = name[order], row[order], n[order].astype(np.int64)
         at = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
         size = np.diff(np.append(at, len(name)))
         total = np.add.reduceat(n, at)
         again = np.repeat(size > 1, size) & (n == 1)
-        yield pa.RecordBatch.from_arrays([pa.array(name[again]), pa.array(doc[again]), pa.nulls(int(again.sum()), pa.int64())], names=kinds)
-        many = total > HOT_DOCS
+        yield pa.RecordBatch.from_arrays([pa.array(name[again]), pa.array(row[again]), pa.nulls(int(again.sum()), pa.int64())], names=kinds)
+        many = total > HOT_ROWS
         yield pa.RecordBatch.from_arrays([pa.array(name[at][many]), pa.nulls(int(many.sum()), pa.int64()), pa.array(total[many])], names=kinds)
 
-    dealt = sampled.repartition(F.when(F.col("n") < 0, F.xxhash64("doc", "name")).otherwise(F.col("name")))
-    return dealt.mapInArrow(run, "name long, doc long, total long")
+    dealt = sampled.repartition(F.when(F.col("n") < 0, F.xxhash64("row", "name")).otherwise(F.col("name")))
+    return dealt.mapInArrow(run, "name long, row long, total long")
 
 
-def _candidates(block: Block, repeated: np.ndarray) -> np.ndarray:
-    """Windows that may occur elsewhere. ``repeated``: sorted hashes of (text, name) pairs."""
-    first, past = block.runs(block.valid)
-    if not len(first) or not len(repeated):
-        return np.zeros(len(block.valid), bool)
-    key = _pair(block.docs[block.part[first]], block.least[first])
-    at = np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)
-    rep = repeated[at] == key
-    wanted = np.zeros(len(block.valid) + 1, np.int32)
-    np.add.at(wanted, first[rep], 1)
-    np.add.at(wanted, past[rep], -1)
-    return (np.cumsum(wanted[:-1]) > 0) & block.valid
+def _pair(row: np.ndarray, name: np.ndarray) -> np.ndarray:
+    x = row.astype(np.int64).view(np.uint64) * _C1 ^ name
+    return (x ^ (x >> np.uint64(31))) * _C2
 
 
-def _pair(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
-    x = doc.astype(np.int64).view(np.uint64) * _C1 ^ name
-    return (x ^ (x >> np.uint64(31))) * _C2
+def _pairs_of(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    """Sorted hashes of (row of the batch, name), for a column of names."""
+    lists = batch.column(column)
+    of = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    return np.unique(_pair(of, lists.flatten().to_numpy().view(np.uint64)))
+
+
+def _known(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(keys), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)] == keys
 
 
-def window_runs(rows: DataFrame, hot: np.ndarray, length: int, gram: int) -> DataFrame:
-    """(doc, text, names) -> (route, doc, start, stop, body): runs of candidate windows with their bytes.
+def window_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc, row, text, names, hots) -> (route, doc, row, start, stop, body): runs of windows that may occur elsewhere,
+    with their bytes.
 
-    Equal runs of a block go on for the smallest doc only; for the others the block knows that they are covered,
-    and gives rows without body.
+    Equal runs of a block go on for the smallest doc only; of the others the block knows that they are covered, and
+    gives the covered stretches, without body. Runs of names in ``hots`` go on window by window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = ["route", "doc", "row", "start", "stop", "body"]
         for b in batches:
-            lists = b.column(2)
-            for block, lo, hi in _blocks(b, length, gram):
-                some = lists.slice(lo, hi - lo)
-                of = np.repeat(np.array(b.column(0).slice(lo, hi - lo).to_pylist(), np.int64), some.value_lengths().to_numpy())
-                repeated = np.unique(_pair(of, some.flatten().to_numpy().view(np.uint64)))
-                first, past = block.runs(_candidates(block, repeated))
-                name = block.least[first]
-                is_hot = np.isin(name, hot)
-                whole = [first[~is_hot]]
-                upto, route = [past[~is_hot]], [name[~is_hot]]
-                if is_hot.any():  # each window by itself, by its own name
-                    n = past[is_hot] - first[is_hot]
-                    each = np.repeat(first[is_hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    full = names(block.data, length)
-                    whole.append(each)
-                    upto.append(each + 1)
-                    route.append(full[each])
-                first, past, route = np.concatenate(whole), np.concatenate(upto), np.concatenate(route)
-                part = block.part[first]
-                doc = block.docs[part]
-                start = first - block.starts[part] + block.offsets[part]
-                stop = start + past - first + length - 1
-                data = block.data.tobytes()
-                ends = (past + length - 1).tolist()
-                bodies = [data[x:y] for x, y in zip(first.tolist(), ends, strict=True)]
+            doc_of, row_of, usual, hot = b.column(0).to_numpy(), b.column(1).to_numpy(), _pairs_of(b, 3), _pairs_of(b, 4)
+            for block in _blocks(b, 2, length, gram):
+                first, past = block.runs(block.valid)
+                key = _pair(block.rows[block.part[first]], block.least[first])
+                some, is_hot = _known(usual, key), _known(hot, key)
+                each = np.flatnonzero(block.within(first[is_hot], past[is_hot])) if is_hot.any() else np.zeros(0, np.int64)
+                route = np.concatenate([block.least[first[some]], names(block.data, length)[each] if len(each) else np.zeros(0, np.uint64)])
+                first, past = np.concatenate([first[some], each]), np.concatenate([past[some], each + 1])
+                at, start, stop = block.places(first, past)
+                doc = doc_of[at]
+                data, docs = block.data.tobytes(), doc.tolist()
+                bodies = [data[x:y] for x, y in zip(first.tolist(), (past + length - 1).tolist(), strict=True)]
                 least: dict[bytes, int] = {}
-                docs = doc.tolist()
                 for body, d in zip(bodies, docs, strict=True):
                     if d < least.get(body, d + 1):
                         least[body] = d
-                bodies = [body if least[body] == d else None for body, d in zip(bodies, docs, strict=True)]
-                arrays = [pa.array(route.view(np.int64)), pa.array(doc), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(bodies, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["route", "doc", "start", "stop", "body"])
+                goes = np.fromiter((least[body] == d for body, d in zip(bodies, docs, strict=True)), bool, len(docs))
+                arrays = [pa.array(x[goes]) for x in (route.view(np.int64), doc, row_of[at], start, stop)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([x for x, g in zip(bodies, goes.tolist(), strict=True) if g], pa.binary())], names=kinds)
+                if not goes.all():
+                    at, start, stop = block.places(*block.runs(block.within(first[~goes], past[~goes]), by_name=False))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), *map(pa.array, (doc_of[at], row_of[at], start, stop)), pa.nulls(len(at), pa.binary())], names=kinds)
 
-    return rows.mapInArrow(run, "route long, doc long, start long, stop long, body binary")
+    return rows.select("doc", "row", "text", "names", "hots").mapInArrow(run, "route long, doc long, row long, start long, stop long, body binary")
+
+
+def ranked_windows(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that start at ``at`` in an order in which equal ones are side by side, and where a new one begins.
+
+    Names put equal windows side by side, and bytes tell whether neighbours are equal; should different windows have
+    one name, the bytes themselves are sorted.
+    """
+    name = names(data, length)[at]
+    order = np.argsort(name, kind="stable")
+    same = name[order][1:] == name[order][:-1]
+    views = np.lib.stride_tricks.sliding_window_view(data, length)
+    pairs = np.flatnonzero(same)
+    for k in range(0, len(pairs), 1 << 16):
+        some = pairs[k : k + (1 << 16)]
+        if (views[at[order[some]]] != views[at[order[some + 1]]]).any():
+            return _ranked_by_bytes(views, at)
+    return order, np.append(True, ~same)
+
+
+def _ranked_by_bytes(views: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    held = [views[x].tobytes() for x in at.tolist()]
+    order = np.array(sorted(range(len(held)), key=held.__getitem__), np.int64)
+    return order, np.array([k == 0 or held[order[k]] != held[order[k - 1]] for k in range(len(order))])
 
 
 def covered_runs(runs: DataFrame, length: int) -> DataFrame:
-    """-> (doc, start, stop): stretches whose windows all occur in a document with a smaller id."""
+    """-> (doc, row, start, stop): stretches whose windows all occur in a document with a smaller id."""
+    kinds = ["doc", "row", "start", "stop"]
 
-    def judge(doc: np.ndarray, start: np.ndarray, bodies: pa.Array) -> pa.RecordBatch:
+    def judge(rows: pa.Table) -> pa.RecordBatch:
+        doc, own_row, start = (rows.column(k).to_numpy() for k in ("doc", "row", "start"))
+        bodies = rows.column("body").combine_chunks()
         data = np.frombuffer(b"".join(bodies.to_pylist()), np.uint8)
-        size = pa.compute.binary_length(bodies).to_numpy().astype(np.int64)
+        size = pc.binary_length(bodies).to_numpy().astype(np.int64)
         ends = np.cumsum(size)
         n = len(data) - length + 1
         row = np.repeat(np.arange(len(size)), size)[:n]
         at = np.flatnonzero(np.arange(n) + length <= ends[row])
-        row, name = row[at], names(data, length)[at]
+        row = row[at]
+        order, head = ranked_windows(data, at, length)
         own = doc[row]
-        order = np.lexsort((own, name))
-        head = np.append(True, name[order][1:] != name[order][:-1])
-        least = own[order][np.flatnonzero(head)][np.cumsum(head) - 1]
+        least = np.minimum.reduceat(own[order], np.flatnonzero(head))[np.cumsum(head) - 1]
         hit = np.zeros(len(at), bool)
         hit[order] = least < own[order]
         same = np.zeros(len(at), bool)
         same[1:] = hit[1:] & hit[:-1] & (row[1:] == row[:-1])
         first, last = np.flatnonzero(hit & ~same), np.flatnonzero(hit & ~np.append(same[1:], False))
         base = start[row[first]] - (ends - size)[row[first]]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(base + at[first]), pa.array(base + at[last] + length)], names=["doc", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row[first]], own_row[row[first]], base + at[first], base + at[last] + length)], names=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = []
-        for b in batches:
-            known = b.column(4).is_null()
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(known) for k in (1, 2, 3)], names=["doc", "start", "stop"])
-            gathered.append(b.filter(pa.compute.invert(known)))
-        if not sum(b.num_rows for b in gathered):
-            return
-        rows = pa.Table.from_batches(gathered).sort_by("route").combine_chunks()
-        route = rows.column("route").to_numpy()
-        size = np.cumsum(pa.compute.binary_length(rows.column("body")).to_numpy().astype(np.int64))
-        at = 0
-        while at < len(route):  # whole groups, some megabytes at a time
-            end = int(np.searchsorted(size, (size[at - 1] if at else 0) + BLOCK))
-            end = len(route) if end >= len(route) else int(np.searchsorted(route, route[end], side="right"))
-            part = rows.slice(at, end - at)
-            yield judge(part.column("doc").to_numpy(), part.column("start").to_numpy(), part.column("body").combine_chunks())
-            at = end
+        held, size = [], 0
+        for b in batches:  # sorted by route: all groups but the last are whole
+            known = b.column(5).is_null()
+            if pc.any(known).as_py():
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(known) for k in (1, 2, 3, 4)], names=kinds)
+                b = b.filter(pc.invert(known))
+            held.append(b)
+            size += b.nbytes
+            if size < BLOCK or not b.num_rows:
+                continue
+            rows = pa.Table.from_batches(held)
+            route = rows.column("route").to_numpy()
+            end = int(np.searchsorted(route, route[-1]))
+            if end:
+                yield judge(rows.slice(0, end))
+            held = rows.slice(end).combine_chunks().to_batches()
+            size = sum(x.nbytes for x in held)
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and rows.num_rows:
+            yield judge(rows)
 
-    return runs.repartition(F.coalesce(F.when(F.col("body").isNull(), F.xxhash64("doc", "start")), F.col("route"))).mapInArrow(run, "doc long, start long, stop long")
+    dealt = runs.repartition(F.coalesce("route", F.xxhash64("row", "start"))).sortWithinPartitions("route")
+    return dealt.mapInArrow(run, "doc long, row long, start long, stop long")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -290,38 +323,44 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def whole_copies(rows: DataFrame, length: int) -> DataFrame:
-    """(doc, n_bytes) of the texts, at least ``length`` long, that are equal to one with a smaller id.
+    """(doc, row, n_bytes) of the texts, at least ``length`` long, that are equal to one with a smaller id.
 
-    Every window of such a text starts in that document, so its rows need no search; and any window it could
-    cover elsewhere the first of its kind covers too. Ids that repeat are left to the search.
+    Every window of such a text starts in that document, so its row needs no search; and any window it could cover
+    elsewhere the first of its kind covers too.
     """
-    narrow = materialize(rows.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest")))
-    again = narrow.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
-    long_ = narrow.where(F.col("n_bytes") >= length)
-    firsts = long_.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return long_.join(firsts, "digest").where("doc > first").join(again, "doc", "left_anti").select("doc", "n_bytes")
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, spans): per document with any, the byte stretches (start, stop) to remove; they may overlap."""
-    spark = docs.sparkSession
-    before = spark.conf.get(KEEP_FILES, None)
-    if before is not None:
-        spark.conf.set(KEEP_FILES, "true")  # each step is read back from its table, its shuffle files aren't needed
-    try:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-        copies = materialize(whole_copies(rows, length))
-        rows = rows.join(F.broadcast(copies) if 40 * copies.count() <= BROADCAST_BYTES else copies, "doc", "left_anti")
-        found = materialize(repeated_names(sampled_names(rows, length, gram)))
-        total = max(HOT_DOCS, found.where("doc is not null").count() // HOT_SHARE)
-        hot = np.array([r[0] for r in found.where(F.col("doc").isNull() & (F.col("total") > total)).select("name").collect()], np.int64).view(np.uint64)
-        lists = found.where("doc is not null").groupBy("doc").agg(F.collect_list("name").alias("names"))
-        runs = window_runs(rows.join(lists.hint("shuffle_hash"), "doc").select("doc", "text", "names"), hot, length, gram)
-        covered = materialize(covered_runs(runs, length)).unionByName(copies.select("doc", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
-    finally:
-        if before is not None:
-            spark.conf.set(KEEP_FILES, before)
-    return covered.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    size = F.octet_length("text").cast("long")
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
+    narrow = materialize(rows.where(size >= length).select("doc", "row", size.alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("digest"), salt.alias("salt")))
+    part = materialize(narrow.groupBy("digest", "salt").agg(F.min("doc").alias("lo"), F.count(F.lit(1)).alias("n")))
+    firsts = part.groupBy("digest").agg(F.min("lo").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    groups = materialize(part.select("digest", "salt").join(firsts, "digest").select("digest", "salt", "first"))
+    return narrow.join(maybe_broadcast(groups, 64), ["digest", "salt"]).where("doc > first").select("doc", "row", "n_bytes")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, doc (the id as a long) and row (a hash of both): rows of one id are told apart by their texts."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; ids that order documents are whole numbers here")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
+
+
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Rows as :func:`keyed` gives them -> (doc, row, spans): for those with any, the byte stretches (start, stop) to
+    remove; they may overlap."""
+    ship_package(rows.sparkSession)
+    every = rows.select("doc", "row", "text").where("doc is not null and text is not null")
+    copies = materialize(whole_copies(every, length))
+    searched = every.join(maybe_broadcast(copies.select("doc", "row"), 40), ["doc", "row"], "left_anti")
+    found = materialize(repeated_names(sampled_names(searched, length, gram)))
+    release(rows.sparkSession)
+    hot = materialize(found.where("row is null").select("name", F.lit(True).alias("hot")))
+    flagged = found.where("row is not null").select("name", "row").join(maybe_broadcast(hot, 32), "name", "left")
+    lists = flagged.groupBy("row").agg(F.collect_list(F.when(F.col("hot").isNull(), F.col("name"))).alias("names"), F.collect_list(F.when(F.col("hot"), F.col("name"))).alias("hots"))
+    covered = materialize(covered_runs(window_runs(searched.join(lists.hint("shuffle_hash"), "row"), length, gram), length))
+    release(rows.sparkSession)
+    every = covered.unionByName(copies.select("doc", "row", F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
+    return every.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def _cut(text, spans) -> tuple[bytes, list[tuple[int, int]]]:
@@ -347,8 +386,8 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    spans = repeated_spans(docs, id_col, text_col, length, gram)
+    rows = keyed(docs, id_col, text_col)
+    spans = repeated_spans(rows, length, gram)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    both = rows.join(spans.hint("shuffle_hash"), F.col("id").cast("long") == F.col("doc"), "left").select("id", "text", "spans")
+    both = rows.join(spans.hint("shuffle_hash"), ["doc", "row"], "left").select("id", "text", "spans")
     return both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)

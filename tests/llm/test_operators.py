@@ -53,26 +53,48 @@ def test_exact_groups(docs, texts):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0 and exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
 
 
-def test_suffixes(docs, texts, monkeypatch):
-    seen, want = set(), set()
-    for k, t in texts.items():
+def without_repeats(texts):
+    """What op4 returns for (id, text) pairs, by comparing all strings of 50 bytes."""
+    first = {}
+    for k, t in texts:
         b = (t or "").encode()
-        gone, own = bytearray(len(b)), []
         for p in range(len(b) - 49):
-            s = b[p : p + 50]
-            if s in seen:
+            if k is not None:
+                first[b[p : p + 50]] = min(k, first.get(b[p : p + 50], k))
+    want = set()
+    for k, t in texts:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49 if k is not None else 0):
+            if first[b[p : p + 50]] < k:
                 gone[p : p + 50] = b"\1" * 50
-            own.append(s)
-        seen.update(own)
-        kept = bytes(x for x, g in zip(b, gone) if not g)
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want.add((k, len(b), sum(gone), len(bytes(gone).replace(b"\0", b" ").split()), hashlib.sha256(kept).hexdigest()))
+    return want
+
+
+def test_suffixes(docs, texts, monkeypatch):
+    want = without_repeats(texts.items())
     assert rows(suffixes.removal_report(docs)) == want
-    monkeypatch.setattr(suffixes, "HOT_DOCS", 1)
+    monkeypatch.setattr(suffixes, "HOT_ROWS", 1)
     monkeypatch.setattr(suffixes, "BLOCK", 700)
     assert rows(suffixes.removal_report(docs)) == want
+    monkeypatch.setattr(suffixes, "names", lambda data, length: np.zeros(max(0, len(data) - length + 1), np.uint64))  # all names collide
+    assert rows(suffixes.removal_report(docs)) == want
     assert suffixes.removal_report(docs.limit(0)).count() == 0
 
 
+def test_suffixes_of_repeated_and_null_ids(spark, monkeypatch):
+    a, b, c = prose(40), prose(40), prose(30)
+    data = [(1, a), (2, a), (2, f"{a} {b}"), (2, "short"), (2, "short"), (2, f"{b} {c}"), (3, f"{c} {b}"), (None, a), (None, c), (3, None), (3, None), (0, f"x {c[:60]}"), (4, a)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"row": F.lit(1), "id": F.lit("clash"), "doc": F.lit(2)})
+    assert {tuple(r) for r in suffixes.removal_report(df).collect()} == without_repeats(data) and suffixes.removal_report(df).count() == len(data)
+    monkeypatch.setattr(suffixes, "HOT_ROWS", 1)
+    assert {tuple(r) for r in suffixes.removal_report(df).collect()} == without_repeats(data)
+    with pytest.raises(TypeError):
+        suffixes.removal_report(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_suffix_names():
     data = np.frombuffer(b"abcdefgh" * 30, np.uint8)
     for n in (1, 2, 16, 50):
