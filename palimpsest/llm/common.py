@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -68,10 +69,13 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are done.
 
     Spark removes them once the driver's garbage collector finds their plans unused, which may be never in a driver
-    with a large heap; after a step that shuffled a multiple of the input this is worth a collection.
+    with a large heap; after a step that shuffled a multiple of the input this is worth a collection. The first
+    collection lets go of the plan, the second one of the shuffles it held.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
