@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import re
 import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes up to which a table with a size bound known beforehand is broadcast.
@@ -17,6 +21,7 @@ BROADCAST_BYTES = 32 << 20
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -35,16 +40,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of our own only where none is configured (tests)."""
+    """The folder all executors share; a temporary one of our own only where none is configured and all runs on one
+    machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="palimpsest-")
     return "file://" + _local_dirs[app]
 
 
+@contextlib.contextmanager
+def steps_removed(spark: SparkSession) -> Iterator[None]:
+    """Steps written in here are removed at the end: for work whose result is written, too, before that."""
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    before = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows of one id apart: a hash of id and text."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows (id, row) of ``gone``, with its columns; rows whose id is null stay."""
+    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct())
+    same = (F.col(id_col) == F.col("__id")) & (row_key(id_col, text_col) == F.col("__row"))
+    return docs.join(maybe_broadcast(gone, 64), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -52,7 +85,8 @@ def materialize(df: DataFrame) -> DataFrame:
     do not live on the executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/steps/{uuid.uuid4().hex}"
+    ship_package(spark)
+    path = f"{_folder.get() or shared_dir(spark)}/steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

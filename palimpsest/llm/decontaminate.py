@@ -9,7 +9,8 @@ then verified by exact containment of word shingles. Everything is built-in Data
 
 Defined cases: words are runs of letters and digits of the lower-cased text; a text of fewer words than a
 shingle has one shingle, all its words; null or wordless texts (of either side) have none and match nothing;
-rows whose doc_id is null are not reported; where a doc_id or item_id repeats, the best pair counts.
+rows whose doc_id is null are not reported and stay; where a doc_id or item_id repeats, the best pair counts in
+:func:`contaminated`, and :func:`drop_contaminated` judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BROADCAST_BYTES, materialize
+from palimpsest.llm.common import BROADCAST_BYTES, materialize, row_key, without_rows
 
 WORDS = 5
 CONTAINMENT = 0.8
@@ -89,11 +90,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return best.select(F.col("doc_id").alias(id_col), "item_id", "b.n_item", "b.n_shared", "b.containment")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    bad = materialize(contaminated(docs, items, id_col=id_col, **params).select(id_col).distinct())
-    bad = F.broadcast(bad) if 40 * bad.count() <= BROADCAST_BYTES else bad
-    return docs.join(bad, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn("__row", row_key(id_col, text_col))
+    both = F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    bad = contaminated(rows.where(F.col(id_col).isNotNull()).withColumn("__key", both), items, id_col="__key", text_col=text_col, **params)
+    return without_rows(docs, bad.select("__key.*"), id_col, text_col)
 
 
 def oracle_sql(n: int = WORDS, containment: float = CONTAINMENT) -> str:

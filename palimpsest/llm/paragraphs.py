@@ -1,171 +1,166 @@
 """Near-duplicate paragraphs by MinHash banding, verified by exact Jaccard similarity.
 
-Paragraphs are the lines of a text. Equal ones (after lower-casing A-Z and joining words by one space) form a
-class; each class gets a MinHash signature of its five-word shingles, whose bands are tuned so that a pair at
-the similarity threshold collides in some band almost surely. Classes that share a band meet in bounded blocks,
-equal blocks of several bands are compared once, each pair not yet connected is verified by its exact Jaccard
-similarity, and connected components of the verified links decide: of each component the first paragraph, by
-doc_id and place, stays.
-
-Paragraphs below ``MIN_WORDS`` words do not fill a shingle: they are returned, as their own class, and stay. Classes
+Paragraphs are the lines of a text; a line of more than ``LONG`` words is cut behind each end of a sentence, so that a
+passage inside a long line is found wherever the line begins. Equal pieces (after lower-casing A-Z and joining words
+by one space) form a class; each class gets a MinHash signature of its five-word shingles, whose bands are tuned so
+that a pair at the similarity threshold collides in some band almost surely. Colliding classes are verified by their
+exact Jaccard similarity (see ``links``), and connected components of the verified links decide: of each component the
+first piece, by doc_id and place, stays. Shingles are formed anew for the classes that collide, and not kept for all.
+
+Pieces below ``MIN_WORDS`` words do not fill a shingle: they are returned, as their own class, and stay. Classes
 are told apart by a 64-bit hash of their words.
 
-Defined cases: null text is empty and has one empty paragraph; null doc_ids come after all others; repeated rows
-count as later copies of one another only through their ids: rows equal in doc_id and text are judged alike.
+Defined cases: null text is empty and has one empty paragraph; null doc_ids come after all others; rows that repeat a
+doc_id are told apart by their texts, and rows equal in doc_id and text are judged alike; further columns of ``docs``
+play no part and stay.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import repeat
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BROADCAST_BYTES, connected_components, materialize
-from palimpsest.llm.simhash import SEED, Forest, in_blocks
+from palimpsest.llm.common import BROADCAST_BYTES, materialize, maybe_broadcast, row_key
+from palimpsest.llm.links import shingles, signatures, similar_components, tune
+from palimpsest.llm.simhash import SEED
 
 WORDS, SIMILARITY = 5, 0.8
 MIN_WORDS = WORDS
-HASHES, RECALL = 40, 0.999
-BLOCK = 256
-
-
-def tune(similarity: float = SIMILARITY, hashes: int = HASHES, recall: float = RECALL) -> tuple[int, int]:
-    """(bands, rows): the most selective banding whose recall at the threshold is high enough."""
-    for rows in range(hashes, 0, -1):
-        bands = hashes // rows
-        if 1 - (1 - similarity**rows) ** bands >= recall:
-            return bands, rows
-    return hashes, 1
-
-
-def shingles(words: list[bytes], n: int = WORDS) -> np.ndarray:
-    """Ascending distinct hashes of the runs of ``n`` words."""
-    runs = map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False)) if len(words) >= n else [b" ".join(words)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64))
-
-
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """A hash per set and band."""
-    rng = np.random.default_rng(5)
-    a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
-    out = np.empty((len(sets), bands), np.uint64)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
-    every = np.concatenate(sets)
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    for k in range(bands):
-        key = np.zeros(len(sets), np.uint64)
-        for j in range(k * rows, (k + 1) * rows):
-            h = every * a[j] + b[j]
-            key = (key ^ np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts)) * mix
-        out[:, k] = key
-    return out
+LONG = 50
+HASHES, RECALL = 24, 0.995
+_SENTENCE_END = re.compile(rb"(?<=[.!?])[\x20\t]+")
+
+
+def pieces(text: str | None) -> Iterator[tuple[int, int, bytes]]:
+    """(paragraph, piece, text with the white space behind it) of a text; joined by line breaks where the paragraph
+    changes they make the text again."""
+    for p, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
+        if len(line.split(None, LONG)) <= LONG:
+            yield p, 0, line
+            continue
+        ends = [m.end() for m in _SENTENCE_END.finditer(line)]
+        for k, (lo, hi) in enumerate(zip([0, *ends], [*ends, len(line)], strict=True)):
+            yield p, k, line[lo:hi]
+
+
+def class_key(words: list[bytes]) -> int:
+    key = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    return key - (key >> 63 << 64)
 
 
 def paragraph_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int, words: int, bands: int, rows: int) -> DataFrame:
-    """id, paragraph, n_words, key, and, for the first of equal ones in a batch, sh (shingle hashes) and sig (bands)."""
+    """id, row, paragraph, piece, n_words, key, and, for the first of equal ones in a batch, sig (bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                owner, place, count, keys, sets, which = [], [], [], [], [], []
+                owner, place, piece, count, keys, sets, which = [], [], [], [], [], [], []
                 seen: set[int] = set()
-                for k, t in enumerate(b.column(1)):
-                    for p, line in enumerate((t.as_py() or "").split("\n")):
-                        w = line.encode("utf-8", "surrogatepass").lower().split()
+                for k, t in enumerate(b.column(2)):
+                    for p, q, said in pieces(t.as_py()):
+                        w = said.lower().split()
                         owner.append(k)
                         place.append(p)
+                        piece.append(q)
                         count.append(len(w))
-                        key = None
-                        if len(w) >= min_words:
-                            key = xxhash.xxh64_intdigest(b" ".join(w), SEED)
-                            if key not in seen:
-                                seen.add(key)
-                                sets.append(shingles(w, words))
-                                which.append(len(owner) - 1)
-                            key -= key >> 63 << 64
+                        key = class_key(w) if len(w) >= min_words else None
+                        if key is not None and key not in seen:
+                            seen.add(key)
+                            sets.append(shingles(w, words))
+                            which.append(len(owner) - 1)
                         keys.append(key)
-                sh, sig = [None] * len(owner), [None] * len(owner)
+                sig = [None] * len(owner)
                 if sets:
-                    for k, s, g in zip(which, sets, signatures(sets, bands, rows).view(np.int64), strict=True):
-                        sh[k], sig[k] = s.view(np.int64), g
-                arrays = [b.column(0).take(pa.array(owner, pa.int32())), pa.array(place, pa.int32()), pa.array(count, pa.int32()), pa.array(keys, pa.int64()), pa.array(sh, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "paragraph", "n_words", "key", "sh", "sig"])
+                    for k, g in zip(which, signatures(sets, bands, rows).view("int64"), strict=True):
+                        sig[k] = g
+                of = pa.array(owner, pa.int32())
+                arrays = [b.column(0).take(of), b.column(1).take(of), *(pa.array(x, pa.int32()) for x in (place, piece, count)), pa.array(keys, pa.int64()), pa.array(sig, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "row", "paragraph", "piece", "n_words", "key", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, paragraph int, n_words int, key long, sh array<long>, sig array<long>")
+    narrow = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return narrow.mapInArrow(run, f"id {kind}, row long, paragraph int, piece int, n_words int, key long, sig array<long>")
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared)
-
-
-def verified_links(blocks: DataFrame, similarity: float) -> DataFrame:
-    """(members: array of (key, sh)) -> (a, b) links of a spanning forest of the pairs that are similar enough."""
+def shingles_of(rows: DataFrame, words: int) -> DataFrame:
+    """(text, keys) -> (key, sh): the shingles of those classes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, z = [], []
-            for row in batch.column(0):
-                keys = row.values.field(0).to_pylist()
-                lists = row.values.field(1)
-                sets = [lists[k].values.to_numpy() for k in range(len(keys))]
-                forest = Forest(len(keys))
-                for i in range(len(keys)):
-                    for j in range(i):
-                        small, large = sorted((len(sets[i]), len(sets[j])))
-                        if small >= similarity * large and forest.root(i) != forest.root(j) and jaccard(sets[i], sets[j]) >= similarity:
-                            forest.join(i, j)
-                            a.append(keys[i])
-                            z.append(keys[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long")
-
-
-def similar_links(classes: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Classes (key, sig) and their shingles (key, sh) -> (a, b) links that connect all similar classes.
-
-    Shingles are fetched only for classes that collide with another.
-    """
-    banded = classes.select(F.col("key").alias("member"), F.posexplode("sig").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "member")
-    blocks = in_blocks(banded, "member", block).select(F.array_sort("members").alias("keys")).distinct()
-    named = materialize(blocks.select(F.xxhash64("keys").alias("block"), F.size("keys").alias("n"), F.explode("keys").alias("key")))
-    met = materialize(named.select("key").distinct())
-    met = F.broadcast(met) if 40 * met.count() <= BROADCAST_BYTES else met
-    some = sets.join(met, "key").groupBy("key").agg(F.first("sh").alias("sh"))
-    filled = named.join(some, "key").groupBy("block", "n").agg(F.collect_list(F.struct("key", "sh")).alias("members"))
-    return verified_links(filled.select("members"), similarity).distinct()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                found = {}
+                for t, wanted in zip(whole.column(0).slice(at, 512), whole.column(1).slice(at, 512), strict=True):
+                    left = set(wanted.as_py())
+                    for _, _, said in pieces(t.as_py()):
+                        w = said.lower().split()
+                        key = class_key(w) if w else None
+                        if key in left:
+                            left.discard(key)
+                            found[key] = shingles(w, words).view("int64")
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))], names=["key", "sh"])
+
+    return rows.select("text", "keys").mapInArrow(run, "key long, sh array<long>")
 
 
 def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per paragraph: id, paragraph, n_words, first_<id>, first_paragraph (of its component), removed."""
-    bands, rows = tune(similarity)
+    """One row per piece: id, paragraph, piece, n_words, n_removed (words), first_<id>, first_paragraph, first_piece (of
+    its component), removed."""
+    return _judged(docs, id_col, text_col, min_words, words, similarity).drop("row")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, min_words: int, words: int, similarity: float) -> DataFrame:
+    bands, rows = tune(similarity, HASHES, RECALL)
     every = materialize(paragraph_rows(docs, id_col, text_col, min_words, words, bands, rows))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "paragraph")
-    firsts = every.where("key is not null").groupBy("key").agg(F.min(place).alias("first"))
-    classes = materialize(every.where("sig is not null").groupBy("key").agg(F.first("sig").alias("sig")))
-    labels = connected_components(similar_links(classes, every.where("sh is not null").select("key", "sh"), similarity))
-    named = firsts.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("label"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "paragraph", "piece")
+    classes = materialize(every.where("key is not null").groupBy("key").agg(F.min(place).alias("first"), F.first("sig", ignorenulls=True).alias("sig"), F.count(F.lit(1)).alias("n")))
+
+    def sets_of(met: DataFrame) -> DataFrame:
+        owners = materialize(met.join(classes, "key").select(F.col("first.id").alias("__id"), F.col("first.row").alias("__row"), "key"))
+        wanted = owners.groupBy("__id", "__row").agg(F.collect_list("key").alias("keys"))
+        wanted = F.broadcast(wanted) if 64 * owners.count() <= BROADCAST_BYTES else wanted  # lists of keys, in all as many as there are owners
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
+        own = texts.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select("text", "keys")
+        return shingles_of(own, words).groupBy("key").agg(F.first("sh").alias("sh"))
+
+    labels = similar_components(classes.select("key", F.posexplode("sig").alias("band", "hash")), sets_of, similarity)
+    named = classes.select("key", "first", "n")
+    named = named.withColumn("label", F.col("key")) if labels is None else named.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("label", "key").alias("label"), "n")
     named = materialize(named)
-    least = named.groupBy("label").agg(F.min("first").alias("first"))
-    kept = materialize(named.select("key", "label").join(least, "label").select("key", "first"))
-    out = every.select("id", "paragraph", "n_words", "key").join(kept, "key", "left")
+    groups = named.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("all")).where("all > 1")
+    kept = materialize(named.select("key", "label").join(groups, "label").select("key", "first"))
+    out = every.drop("sig").join(maybe_broadcast(kept, 96), "key", "left")
     first = F.coalesce("first", place)
-    return out.select(F.col("id").alias(id_col), "paragraph", "n_words", first["id"].alias(f"first_{id_col}"), first["paragraph"].alias("first_paragraph"), (~first.eqNullSafe(place)).alias("removed"))
+    removed = ~first.eqNullSafe(place)
+    return out.select(
+        F.col("id").alias(id_col), "row", "paragraph", "piece", "n_words", F.when(removed, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
+        first["id"].alias(f"first_{id_col}"), first["paragraph"].alias("first_paragraph"), first["piece"].alias("first_piece"), removed.alias("removed"),
+    )
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with the removed pieces cut from the text, and lines that have nothing else; all rows and columns stay."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([t if g is None else _without(t, {(x["paragraph"], x["piece"]) for x in g}) for t, g in zip(texts, gone, strict=True)])
+
+    gone = _judged(docs, id_col, text_col, min_words, words, similarity).where(F.col("removed") & F.col(id_col).isNotNull())
+    gone = gone.groupBy(F.col(id_col).alias("__id"), F.col("row").alias("__row")).agg(F.collect_set(F.struct("paragraph", "piece")).alias("__gone"))
+    same = (F.col(id_col) == F.col("__id")) & (row_key(id_col, text_col) == F.col("__row"))
+    names = [F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), "__gone")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(gone, same, "left").select(*names)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` with the removed paragraphs cut from the text; all rows and columns stay."""
-    gone = near_paragraphs(docs, id_col, text_col, **params).where(f"removed and {id_col} is not null").groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("paragraph").alias("__gone"))
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, k: ~F.array_contains("__gone", k))
-    cut = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    names = [cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left").select(*names)
+def _without(text: str | None, gone: set[tuple[int, int]]) -> str | None:
+    lines: dict[int, list[bytes]] = {}
+    for p, q, said in pieces(text):
+        if (p, q) not in gone:
+            lines.setdefault(p, []).append(said)
+    return b"\n".join(b"".join(x) for x in lines.values()).decode("utf-8", "surrogatepass")

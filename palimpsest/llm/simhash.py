@@ -4,10 +4,9 @@ Bit ``i`` of a fingerprint carries a fixed vector ``m(i)`` of ``radius + 1`` bit
 with an odd product ``m(i) . v``; for any ``radius`` differing bits some ``v`` is orthogonal to all of them, so
 every pair within the radius has the same key in some table: no pair is missed.
 
-Rows with one fingerprint are summed up first. Fingerprints that share a key meet in bounded blocks: a bucket
-of many fingerprints is dealt into blocks of about ``BLOCK``, and each pair of blocks is compared by itself, so
-that no task holds a whole bucket. Of each comparison only a spanning forest of its links goes on, shortest
-links first; connected components need no more.
+Rows with one fingerprint are summed up first. A bucket of more than ``BLOCK`` fingerprints is split by further
+tables over the bits its key has not used, so that no task holds a large bucket and rows grow in proportion to it. Of
+each bucket only a spanning forest of its links goes on, shortest links first; connected components need no more.
 
 Defined cases: null text is empty; a text without words has fingerprint zero, which links like any other; fewer
 words than a shingle make one shingle; null doc_ids are returned with their fingerprint, and take no part in
@@ -25,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BROADCAST_BYTES, connected_components, materialize
+from palimpsest.llm.common import connected_components, materialize, maybe_broadcast
 
 SEED = 42
 WORDS, RADIUS = 3, 3
 BLOCK = 4096
+#: Splits of a large bucket: after so many a key has all but one or two of the 64 bits.
+LEVELS = 6
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -64,40 +65,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def covering_masks(radius: int) -> list[int]:
-    """2^(radius+1) - 1 masks of 64 bits, signed."""
+def covering_masks(radius: int, level: int = 0) -> list[int]:
+    """2^(radius+1) - 1 masks of 64 bits, signed. Each level deals the vectors to the bits in another order."""
     vectors = 2 ** (radius + 1) - 1
+    of = 1 + np.random.default_rng(level).permutation(64) % vectors if level else 1 + np.arange(64) % vectors
     masks = []
     for v in range(1, vectors + 1):
-        mask = sum(1 << i for i in range(64) if bin((1 + i % vectors) & v).count("1") % 2)
+        mask = sum(1 << i for i in range(64) if bin(int(of[i]) & v).count("1") % 2)
         masks.append(mask - (mask >> 63 << 64))
     return masks
 
 
-def buckets(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp) -> (key, fp): a row per table, whose number is hashed into the key."""
-    masks = F.array(*map(F.lit, covering_masks(radius)))
-    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = fps.repartition(tasks, "fp")  # a small table is read by few tasks, which would write all the rows
-    return spread.select("fp", F.posexplode(masks).alias("table", "mask")).select(F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+def in_tables(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """(key, used, fp) -> the same, a row per table: ``used`` gains the table's bits, ``key`` is of all used bits."""
+    masks = F.array(*map(F.lit, covering_masks(radius, level)))
+    more = rows.select("key", "used", "fp", F.posexplode(masks).alias("table", "mask")).withColumn("used", F.col("used").bitwiseOR(F.col("mask")))
+    return more.select(F.xxhash64("key", "table", F.col("fp").bitwiseAND(F.col("used"))).alias("key"), "used", "fp")
 
 
-def in_blocks(rows: DataFrame, member: str, block: int) -> DataFrame:
-    """(key, member) rows that share a key, as bounded pairs of blocks: (key, one, two, members).
+def bounded_buckets(fps: DataFrame, radius: int, block: int) -> DataFrame:
+    """(fp) -> (members): the fingerprints that share a key of some table, at most ``block`` of them.
 
-    Keys of one row drop out first. Those left are broadcast if they are few, so that the other rows never
-    shuffle, and joined otherwise. A key of up to ``block`` rows is one block; one of more is dealt by a hash of
-    the member into as many as it takes, and each block meets itself and each other block once.
+    A larger bucket is split by tables of the bits that its key has not used; the covering holds for these bits as
+    well, so a pair within the radius stays together in some part. Each level halves the bits left, and a member makes
+    a row per table, however many there are in its bucket. Keys of one fingerprint drop out first.
     """
-    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    sizes = F.broadcast(sizes) if 40 * sizes.count() <= BROADCAST_BYTES else sizes
-    sized = rows.join(sizes, "key")
-    few = sized.where(F.col("n") <= block).select("key", F.lit(0).alias("one"), F.lit(0).alias("two"), member)
-    parts = F.ceil(F.col("n") / (block / 2)).cast("int")
-    many = sized.where(F.col("n") > block).withColumn("p", parts).withColumn("own", F.pmod(F.xxhash64(member), F.col("p")).cast("int"))
-    met = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    many = met.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), member)
-    return few.unionByName(many).groupBy("key", "one", "two").agg(F.collect_list(member).alias("members"))
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = fps.repartition(tasks, "fp")  # a small table is read by few tasks, which would write all the rows
+    rows, out = spread.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("used"), "fp"), None
+    for level in range(LEVELS):
+        rows = in_tables(rows, radius, level)
+        sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        sized = rows.join(maybe_broadcast(sizes, 40), "key")
+        last = level == LEVELS - 1 or sizes.where(F.col("n") > block).isEmpty()
+        few = (sized if last else sized.where(F.col("n") <= block)).groupBy("key").agg(F.collect_list("fp").alias("members")).select("members")
+        out = few if out is None else out.unionByName(few)
+        if last:
+            return out
+        rows = sized.where(F.col("n") > block).select("key", "used", "fp")
 
 
 class Forest:
@@ -119,8 +124,8 @@ class Forest:
         return x != y
 
 
-def _links_within(fps: np.ndarray, radius: int, all_up_to: int) -> list[tuple[int, int]]:
-    """The pairs within the radius; of more than ``all_up_to`` fingerprints a spanning forest of them.
+def _links_within(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the radius.
 
     In a large block a fingerprint takes all it reaches at once, those nearest to the block's middle first, so a
     block of near copies is done after a few; links of half the radius are made before longer ones.
@@ -129,8 +134,6 @@ def _links_within(fps: np.ndarray, radius: int, all_up_to: int) -> list[tuple[in
     if n <= 16:
         d = np.bitwise_count(fps[:, None] ^ fps[None])
         i, j = np.nonzero(np.triu(d <= radius, 1))
-        if n <= all_up_to:
-            return list(zip(i.tolist(), j.tolist(), strict=True))
         forest = Forest(n)
         return [(i, j) for _, i, j in sorted(zip(d[i, j].tolist(), i.tolist(), j.tolist(), strict=True)) if forest.join(i, j)]
     middle = np.packbits(np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1).sum(0) * 2 > n).view(np.uint64)[0]
@@ -149,7 +152,7 @@ def _links_within(fps: np.ndarray, radius: int, all_up_to: int) -> list[tuple[in
     return found
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, all_up_to: int = 0) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Distinct fingerprints (fp) -> (a, b) links that connect every two within the radius of each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +162,12 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, all_up_to: i
             a, z = [], []
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own = fp[lo:hi]
-                for i, j in _links_within(own, radius, all_up_to) if hi - lo > 2 else [(0, 1)] if (int(own[0]) ^ int(own[1])).bit_count() <= radius else []:
+                for i, j in _links_within(own, radius) if hi - lo > 2 else [(0, 1)] if (int(own[0]) ^ int(own[1])).bit_count() <= radius else []:
                     a.append(own[i])
                     z.append(own[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, z)], names=["a", "b"])
 
-    met = in_blocks(buckets(fps, radius), "fp", block)
-    return met.select("members").mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return bounded_buckets(fps, radius, block).mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -61,11 +61,11 @@ def test_large_buckets(spark):
 
 
 def test_every_two_components_meet(spark):
-    from palimpsest.llm import near_copies
+    from palimpsest.llm import links
 
     label = {k: 0 if k < 50 else 1 if k < 70 else k for k in range(100)}
     placed = spark.createDataFrame([(7, 100, k, v) for k, v in label.items()], "bucket long, n long, key long, label long")
-    met = [[m.key for m in r.members] for r in near_copies.crossed(placed, 16).collect()]
+    met = [[m.key for m in r.members] for r in links.crossed(placed, 16).collect()]
     pairs = {(a, b) for m in met for a in m for b in m if a < b}
     assert {(a, b) for a in label for b in label if a < b and label[a] != label[b]} <= pairs
     assert sum(map(len, met)) < 100 * 20 and max(map(len, met)) <= 40

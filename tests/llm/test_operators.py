@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, exact_dedup, langid, packing, paragraphs, pii, simhash, suffixes, tokencount, transducer, url_graph
+from palimpsest.llm import decontaminate, exact_dedup, langid, links, packing, paragraphs, pii, simhash, suffixes, tokencount, transducer, url_graph
 
 rng = np.random.default_rng(0)
 WORDS = ["".join(rng.choice(list("abcdeé"), rng.integers(2, 7))) for _ in range(400)]
@@ -133,7 +133,7 @@ def test_spanning_forest():
     for n in (2, 16, 90):
         fps = np.unique(np.array([base[rng.integers(4)] ^ np.uint64(sum(1 << int(b) for b in set(rng.integers(0, 64, rng.integers(0, 5))))) for _ in range(n)], np.uint64))
         one, two = simhash.Forest(len(fps)), simhash.Forest(len(fps))
-        for i, j in simhash._links_within(fps, 3, 0):
+        for i, j in simhash._links_within(fps, 3):
             assert int(fps[i] ^ fps[j]).bit_count() <= 3
             one.join(i, j)
         for i in range(len(fps)):
@@ -143,37 +143,70 @@ def test_spanning_forest():
         assert len({(one.root(i), two.root(i)) for i in range(len(fps))}) == len({one.root(i) for i in range(len(fps))}) == len({two.root(i) for i in range(len(fps))})
 
 
-def test_hot_bucket_in_blocks(spark):
-    df = spark.range(300).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("m"))
-    got = simhash.in_blocks(df, "m", 32).collect()
-    pairs = {(a, b) for r in got for a in r.members for b in r.members if a < b}
-    assert len(pairs) == 300 * 299 // 2 and max(len(r.members) for r in got) < 64
+def test_hot_buckets_are_split_in_proportion(spark):
+    base = int(rng.integers(0, 2**62))
+    near = sorted({base ^ sum(1 << int(b) for b in rng.integers(0, 62, rng.integers(0, 4))) for _ in range(1500)} | {int(x) for x in rng.integers(0, 2**62, 300)})
+    got = simhash.bounded_buckets(spark.createDataFrame([(x,) for x in near], "fp long"), 3, 16).collect()
+    assert sum(len(r.members) for r in got) <= 15**2 * len(near)  # two levels of 15 tables, whatever the bucket's size
+    assert max(len(r.members) for r in got) <= 16
+    together = {(a, b) for r in got for a in r.members for b in r.members if a < b}
+    assert all((a, b) in together for k, a in enumerate(near) for b in near[k + 1 :] if (a ^ b).bit_count() <= 3)
 
 
-def test_paragraphs(docs, texts):
-    ps, first, forest_of = [], {}, {}
+def test_pieces_of_long_lines():
+    long = " ".join([*WORDS[:30], "end."]) + "  " + " ".join([*WORDS[30:60], "ok?"]) + " tail"
+    assert [p[:2] for p in paragraphs.pieces(f"short. line\n{long}")] == [(0, 0), (1, 0), (1, 1), (1, 2)]
+    assert b"".join(p[2] for p in paragraphs.pieces(long)).decode() == long
+    assert [p[:2] for p in paragraphs.pieces(None)] == [(0, 0)]
+
+
+def judged_pieces(texts, similarity=0.8):
+    """near_paragraphs for distinct ids, by comparing all pairs."""
+    ps, first = [], {}
     for k, t in texts.items():
-        for p, line in enumerate((t or "").split("\n")):
-            w = line.encode().lower().split()
-            ps.append((k, p, len(w), frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if len(w) >= 20 else None))
+        for p, q, said in paragraphs.pieces(t):
+            w = said.lower().split()
+            ps.append((k, p, q, len(w), frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else None))
     forest = simhash.Forest(len(ps))
     for i, a in enumerate(ps):
         for j, b in enumerate(ps[:i]):
-            if a[3] and b[3] and len(a[3] & b[3]) / len(a[3] | b[3]) >= 0.8:
+            if a[4] and b[4] and len(a[4] & b[4]) >= similarity * len(a[4] | b[4]):
                 forest.join(j, i)
     for i, a in enumerate(ps):
-        first.setdefault(forest.root(i), a[:2])
-    want = {(*a[:3], *first[forest.root(i)], first[forest.root(i)] != a[:2]) for i, a in enumerate(ps)}
+        first.setdefault(forest.root(i), a[:3])
+    return {(*a[:4], a[3] if first[forest.root(i)] != a[:3] else 0, *first[forest.root(i)], first[forest.root(i)] != a[:3]) for i, a in enumerate(ps)}
+
+
+def test_paragraphs(docs, texts):
+    want = judged_pieces(texts)
     assert rows(paragraphs.near_paragraphs(docs)) == want and any(w[-1] for w in want)
     cut = {r.doc_id: r.text for r in paragraphs.drop_repeats(docs).collect()}
-    assert len(cut[10].split("\n")) == 1 and cut[11] is None
+    assert len(cut[10].split("\n")) == 1 and cut[11] is None and len(cut) == len(texts)
     assert paragraphs.near_paragraphs(docs.limit(0)).count() == 0
-    assert forest_of == {}
 
 
-def test_band_tuning():
-    bands, r = paragraphs.tune()
-    assert bands * r <= paragraphs.HASHES and 1 - (1 - 0.8**r) ** bands >= paragraphs.RECALL
+def test_paragraphs_inside_long_lines_and_repeated_ids(spark):
+    shared = " ".join(" ".join([*rng.choice(WORDS, 9), "stop."]) for _ in range(6))
+    data = {1: f"{prose(40)}. {shared} {prose(30)}", 2: f"{prose(70)}! {shared}", 3: shared, 4: prose(60)}
+    df = spark.createDataFrame([(k, t, "x") for k, t in data.items()], "doc_id long, text string, row string")
+    assert rows(paragraphs.near_paragraphs(df)) == judged_pieces(data)
+    cut = {r.doc_id: r.text for r in paragraphs.drop_repeats(df).collect()}
+    assert shared in cut[1] and shared[:20] not in cut[2] and cut[3] == "" and cut[4] == data[4]
+    line = prose(30)
+    twice = spark.createDataFrame([(1, line), (2, line), (2, prose(30)), (None, line), (2, line)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.removed) for r in paragraphs.near_paragraphs(twice).collect())
+    assert got == [(0, True), (1, False), (2, False), (2, True), (2, True)]
+    assert sum(bool(r.text) for r in paragraphs.drop_repeats(twice).where("doc_id = 2").collect()) == 1
+
+
+def test_stages_tell_rows_of_one_id_apart(spark):
+    line = prose(40)
+    near = line.rsplit(" ", 1)[0] + " changed"
+    df = spark.createDataFrame([(1, line), (2, near), (2, prose(40)), (None, line)], "doc_id long, text string")
+    kept = simhash.drop_near_copies(df).collect()
+    assert len(kept) == 3 and near not in {r.text for r in kept}
+    item = spark.createDataFrame([(1, line)], "item_id long, text string")
+    assert sorted((r.doc_id or 0) for r in decontaminate.drop_contaminated(df, item).collect()) == [0, 2]
 
 
 def test_tokens(docs, texts):
