@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Phrases that mark a refusal, in the long list and in the short one of the funnel.
+# Phrases that mark a refusal, in the long list, and below it in the short one of the funnel.
 REFUSALS = [
     "does not provide", "cannot answer", "not specified", "not provided", "no information", "cannot determine", "unable to", "context does not",
     "cannot be determined", "is not mentioned", "no specific", "don't know", "i cannot", "no clear", "unanswerable", "none provided", "none of the",
     "the question cannot",
 ]
 
+FUNNEL_REFUSALS = ["context does not", "cannot answer", "don't have", "does not provide", "no information", "not mentioned", "unable to", "i cannot"]
+
 
 def support_label(reply: Column) -> Column:
     """SUPPORTED or NOT_SUPPORTED: of true and false, the one that first occurs later decides; without them a negation
@@ -60,9 +62,8 @@ def answer_kind(predicted: Column, phrases: list[str] = REFUSALS) -> Column:
     return F.when(F.trim(low).isin("", "nan"), "EMPTY").when(refusal, "REFUSAL").otherwise("WRONG")
 
 
-def trajectory(s1: Column, s2: Column, s3: Column) -> Column:
+def trajectory(s2: Column, s3: Column) -> Column:
     """What became of a chain at zero: stayed there, recovered for good or for a time."""
-    del s1
     return F.when((s2 == 0) & (s3 == 0), "STAYED_ZERO").when(s3 > 0, "LATE_RECOVERY").when(s2 > 0, "TRANSIENT_RECOVERY").otherwise("OTHER")
 
 

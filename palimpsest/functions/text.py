@@ -119,3 +119,15 @@ def sentences(text: Column) -> Column:
         return F.when(single, joined).otherwise(F.concat(acc, F.array(s)))
 
     return F.when(F.size(parts) == 0, parts).otherwise(F.aggregate(F.slice(parts, 2, 1_000_000), F.slice(parts, 1, 1), step))
+
+
+# What replies begin with before the answer itself.
+LEAD_IN = r"(?i)^(the answer is\s*:?\s*|based on (the )?(text|passage|context)[,.]?\s*|according to (the )?(text|passage)[,.]?\s*|the .{0,60} is not explicitly mentioned[^.]*\.\s*)"
+_EDGES = r"^\s+|\s+$"
+
+
+def short_answer(reply: Column) -> Column:
+    """The first sentence behind a lead-in; all that is left if there is none."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(reply, F.lit("")), LEAD_IN, ""), _EDGES, "")
+    first = F.regexp_replace(F.get(F.split(bare, r"(?<=[.!?])\s+"), 0), _EDGES, "")
+    return F.when(F.coalesce(first, F.lit("")) == "", bare).otherwise(first)

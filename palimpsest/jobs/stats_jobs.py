@@ -212,9 +212,9 @@ def kaplan_meier(spark, sf_dir):
 
 KAPLAN_MEIER = f"""WITH {SCORES_SQL}, {_EPISODES_SQL.format(0.6)}, c AS (SELECT instruction_type, duration, sum(event_observed) AS d, count(*) AS c FROM ep GROUP BY ALL),
 r AS (SELECT *, sum(c) OVER (PARTITION BY instruction_type ORDER BY duration ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM c),
-s AS (SELECT *, sum(ln(1 - d / n)) OVER w AS ls, sum(d / (n * (n - d))) OVER w AS gw FROM r WINDOW w AS (PARTITION BY instruction_type ORDER BY duration ROWS UNBOUNDED PRECEDING))
-SELECT instruction_type, duration, CAST(n AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS events, round(exp(ls), 6) AS survival,
-  round(CASE WHEN ls >= 0 THEN 1.0 ELSE exp(-exp(ln(-ls) + 1.959963984540054 * sqrt(gw) / abs(ls))) END, 6) AS ci_lo, round(CASE WHEN ls >= 0 THEN 1.0 ELSE exp(-exp(ln(-ls) - 1.959963984540054 * sqrt(gw) / abs(ls))) END, 6) AS ci_hi FROM s"""
+s AS (SELECT *, sum(CASE WHEN d < n THEN ln(1 - d / n) ELSE 0.0 END) OVER w AS ls, sum(CASE WHEN d < n THEN d / (n * (n - d)) ELSE 0.0 END) OVER w AS gw, max((d = n)::INT) OVER w AS ended FROM r WINDOW w AS (PARTITION BY instruction_type ORDER BY duration ROWS UNBOUNDED PRECEDING))
+SELECT instruction_type, duration, CAST(n AS BIGINT) AS at_risk, CAST(d AS BIGINT) AS events, round(CASE WHEN ended = 1 THEN 0.0 ELSE exp(ls) END, 6) AS survival,
+  round(CASE WHEN ended = 1 THEN 0.0 WHEN ls >= 0 THEN 1.0 ELSE exp(-exp(ln(-ls) + 1.959963984540054 * sqrt(gw) / abs(ls))) END, 6) AS ci_lo, round(CASE WHEN ended = 1 THEN 0.0 WHEN ls >= 0 THEN 1.0 ELSE exp(-exp(ln(-ls) - 1.959963984540054 * sqrt(gw) / abs(ls))) END, 6) AS ci_hi FROM s"""
 
 
 def survival_summary(spark, sf_dir):

@@ -18,7 +18,7 @@ cnt AS (SELECT qid, step, token, count(token) AS n FROM tok GROUP BY ALL),
 tot AS (SELECT qid, step, CAST(sum(n) AS BIGINT) AS n FROM cnt GROUP BY ALL),
 sh AS (SELECT a.qid, a.step, b.step AS other, CAST(sum(least(a.n, b.n)) AS BIGINT) AS s FROM cnt a JOIN cnt b ON a.qid = b.qid AND a.token = b.token AND b.step IN (0, a.step - 1) GROUP BY ALL),
 sim AS (SELECT c.qid, c.grp, c.instruction_type, c.run, c.step,
-    CASE WHEN t.n = 0 OR z.n = 0 THEN CASE WHEN t.n = z.n THEN 1.0 ELSE 0.0 END WHEN coalesce(s0.s, 0) = 0 THEN 0.0 ELSE 2.0 * s0.s / (t.n + z.n) END AS f1_baseline,
+    CASE WHEN t.n = 0 OR z.n = 0 THEN CASE WHEN t.n = z.n THEN 1.0 ELSE 0.0 END WHEN coalesce(s0.s, 0) = 0 THEN 0.0 ELSE 2.0 * s0.s / (t.n + z.n) END AS f1_original,
     CASE WHEN p.n IS NULL THEN NULL WHEN t.n = 0 OR p.n = 0 THEN CASE WHEN t.n = p.n THEN 1.0 ELSE 0.0 END WHEN coalesce(s1.s, 0) = 0 THEN 0.0 ELSE 2.0 * s1.s / (t.n + p.n) END AS f1_consecutive
   FROM chains c JOIN tot t USING (qid, step) LEFT JOIN tot z ON z.qid = c.qid AND z.step = 0 LEFT JOIN tot p ON p.qid = c.qid AND p.step = c.step - 1
   LEFT JOIN sh s0 ON s0.qid = c.qid AND s0.step = c.step AND s0.other = 0 LEFT JOIN sh s1 ON s1.qid = c.qid AND s1.step = c.step AND s1.other = c.step - 1
@@ -29,12 +29,12 @@ sim AS (SELECT c.qid, c.grp, c.instruction_type, c.run, c.step,
 def rewrite_similarity(spark, sf_dir):
     """Mean token F1 of each step against the original and the step before (JN4, JN5, SC1-SC4, MT1, AG1)."""
     sim = chains.step_similarity(load_chains(spark, sf_dir), KEYS)
-    long = sim.unpivot(["step"], ["f1_baseline", "f1_consecutive"], "metric", "score").where("score is not null")
+    long = sim.unpivot(["step"], ["f1_original", "f1_consecutive"], "metric", "score").where("score is not null")
     return aggregates.describe(long, ["metric", "step"], "score")
 
 
 REWRITE_SIMILARITY = f"""WITH {CHAINS_SQL}, {_PAIR_SQL},
-l AS (SELECT 'f1_baseline' AS metric, step, f1_baseline AS score FROM sim UNION ALL SELECT 'f1_consecutive', step, f1_consecutive FROM sim)
+l AS (SELECT 'f1_original' AS metric, step, f1_original AS score FROM sim UNION ALL SELECT 'f1_consecutive', step, f1_consecutive FROM sim)
 SELECT metric, step, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(median(score), 6) AS median, count(score) AS n,
   round(stddev_samp(score) / sqrt(count(score)), 6) AS sem, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE 1.96 * stddev_samp(score) / sqrt(count(*)) END, 6) AS ci95
 FROM l WHERE score IS NOT NULL GROUP BY metric, step"""
@@ -43,10 +43,10 @@ FROM l WHERE score IS NOT NULL GROUP BY metric, step"""
 def similarity_by_chain(spark, sf_dir):
     """Both F1 values of every step of every chain (MT1, MT14)."""
     sim = chains.step_similarity(load_chains(spark, sf_dir), KEYS)
-    return sim.select("qid", "run", "step", F.round("f1_baseline", 6).alias("f1_baseline"), F.round("f1_consecutive", 6).alias("f1_consecutive"))
+    return sim.select("qid", "run", "step", F.round("f1_original", 6).alias("f1_original"), F.round("f1_consecutive", 6).alias("f1_consecutive"))
 
 
-SIMILARITY_BY_CHAIN = f"WITH {CHAINS_SQL}, {_PAIR_SQL} SELECT qid, run, step, round(f1_baseline, 6) AS f1_baseline, round(f1_consecutive, 6) AS f1_consecutive FROM sim"
+SIMILARITY_BY_CHAIN = f"WITH {CHAINS_SQL}, {_PAIR_SQL} SELECT qid, run, step, round(f1_original, 6) AS f1_original, round(f1_consecutive, 6) AS f1_consecutive FROM sim"
 
 
 def normalized_answers(spark, sf_dir):
@@ -133,7 +133,7 @@ def trajectories(spark, sf_dir):
     """What became of chains whose length fell below that of step 0 (WN8, AG22)."""
     c = chains.compression(load_chains(spark, sf_dir), KEYS).where("step between 1 and 3")
     wide = aggregates.wide(c, ["qid", "instruction_type"], "step", [1, 2, 3], F.max((F.coalesce("compression_ratio", F.lit(0.0)) >= 1).cast("int"))).na.fill(0)
-    lost = wide.where("s1 = 0").withColumn("category", labels.trajectory(F.col("s1"), F.col("s2"), F.col("s3")))
+    lost = wide.where("s1 = 0").withColumn("category", labels.trajectory(F.col("s2"), F.col("s3")))
     return aggregates.share(lost, ["instruction_type", "category"], ["instruction_type"])
 
 

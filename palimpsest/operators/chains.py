@@ -14,7 +14,7 @@ def with_originals(chains: DataFrame, keys: list[str], column: str = "text") ->
     before = chain.orderBy("step")
     original = F.max(F.when(F.col("step") == 0, F.col(column))).over(chain)
     previous = F.when(F.lag("step").over(before) == F.col("step") - 1, F.lag(column).over(before))
-    return chains.withColumns({"baseline": original, "previous": previous})
+    return chains.withColumns({"n_first": original, "previous": previous})
 
 
 def step_similarity(chains: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +32,7 @@ def step_similarity(chains: DataFrame, keys: list[str]) -> DataFrame:
     both = with_originals(sums, keys, "n_own")
     return both.where("step > 0").select(
         *keys, "step", "n_own",
-        F.when(F.col("baseline").isNotNull(), f1(F.col("with_first"), F.col("n_own"), F.col("baseline"))).alias("f1_baseline"),
+        F.when(F.col("n_first").isNotNull(), f1(F.col("with_first"), F.col("n_own"), F.col("n_first"))).alias("f1_original"),
         F.when(F.col("previous").isNotNull(), f1(F.col("with_previous"), F.col("n_own"), F.col("previous"))).alias("f1_consecutive"),
     )
 

@@ -75,3 +75,23 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     log = lambda x: choose(row, x) + choose(n - row, col - x) - choose(n, col)
     seen = log(a)
     return min(1.0, math.fsum(math.exp(v) for x in range(max(0, col + row - n), min(row, col) + 1) if (v := log(x)) <= seen + 1e-9))
+
+
+def binomial_greater(k: int, n: int, p: float) -> float:
+    """P(X >= k) of the one-sided test."""
+    return binomial_tail(k, n, p)
+
+
+def finished(rows, schema: str, **columns):
+    """``rows``, a few result rows, with further columns: each a function of a row as a dict, giving a double."""
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            records = f.to_dict("records")
+            for name, value in columns.items():
+                f[name] = pd.Series([value(r) for r in records], dtype="float64", index=f.index)
+            yield f
+
+    kinds = ", ".join([schema, *(f"{c} double" for c in columns)])
+    return rows.mapInPandas(run, kinds)

@@ -12,8 +12,8 @@ ANSWER_F1 = f"{_KEY}, step int, question string, gold_answer string, predicted_a
 FACT_SCORES = f"{_KEY}, step int, instruction_used string, n_facts int, n_supported int, n_not_supported int, n_contradicted int, init_score double, factscore double"
 FACT_DETAILS = f"{_KEY}, step int, fact string, label string, raw string"
 RECALL = f"{_KEY}, step int, n_e0_facts int, n_recalled int, n_not_recalled int, recall_init double, recall double"
-BERTSCORE = f"{_KEY}, step int, bert_precision_baseline double, bert_recall_baseline double, bert_f1_baseline double, bert_precision_consecutive double, bert_recall_consecutive double, bert_f1_consecutive double"
-BLEURT = f"{_KEY}, step int, bleurt_baseline double, bleurt_consecutive double, bleurt_answer double"
+BERTSCORE = f"{_KEY}, step int, bert_precision_original double, bert_recall_original double, bert_f1_original double, bert_precision_consecutive double, bert_recall_consecutive double, bert_f1_consecutive double"
+BLEURT = f"{_KEY}, step int, bleurt_original double, bleurt_consecutive double, bleurt_answer double"
 PERPLEXITY = f"{_KEY}, step int, n_tokens int, perplexity double"
 EPISODES = "qid string, instruction_type string, run int, first_hit_step int, duration int, event_observed int, n_hop int"
 QUESTIONS = "id string, question string, answer string, answer_aliases array<string>, question_decomposition array<struct<id:bigint,question:string,answer:string>>, paragraphs array<struct<idx:int,title:string,paragraph_text:string,is_supporting:boolean>>"

@@ -81,7 +81,7 @@ def test_log_rank_of_equal_strata(spark):
 def test_similarity_of_gapped_chain(spark):
     rows = [("a", 0, "x y"), ("a", 1, "x"), ("a", 3, ""), ("b", 1, "q"), ("c", 0, None), ("c", 1, "")]
     df = spark.createDataFrame(rows, "qid string, step int, text string")
-    got = {(r.qid, r.step): (r.f1_baseline, r.f1_consecutive) for r in chains.step_similarity(df, ["qid"]).collect()}
+    got = {(r.qid, r.step): (r.f1_original, r.f1_consecutive) for r in chains.step_similarity(df, ["qid"]).collect()}
     assert got[("a", 1)] == (pytest.approx(2 / 3), pytest.approx(2 / 3))
     assert got[("a", 3)] == (0.0, None) and got[("b", 1)] == (None, None) and got[("c", 1)] == (1.0, 1.0)
 
