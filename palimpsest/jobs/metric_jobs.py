@@ -170,11 +170,11 @@ def heatmap(spark, sf_dir):
     total = sum((F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in STEPS), F.lit(0.0))
     have = sum((F.col(f"s{k}").isNotNull().cast("int") for k in STEPS), F.lit(0))
     label = F.concat(F.lit("…"), F.right(F.element_at(F.split(F.col("qid").cast("string"), "_"), -1), F.lit(4)))
-    return w.select("qid", label.alias("label"), "n_hop", *[f"s{k}" for k in STEPS], F.round(total / have, 8).alias("mean")).orderBy("n_hop", F.desc("mean"), "qid")
+    return w.select("qid", label.alias("label"), "n_hop", *[f"s{k}" for k in STEPS], F.round(total / have, 6).alias("mean")).orderBy("n_hop", F.desc("mean"), "qid")
 
 
 HEATMAP = f"""WITH {metrics_sql(['qid', 'n_hop', 'step'])}, w AS (SELECT qid, n_hop, {', '.join(f'round(max(answer_f1) FILTER (WHERE step = {k}), 9) AS s{k}' for k in STEPS)} FROM answer GROUP BY ALL)
-SELECT qid, '…' || right(list_extract(string_split(CAST(qid AS VARCHAR), '_'), -1), 4) AS label, n_hop, s0, s1, s2, s3, round(({' + '.join(f'coalesce(s{k}, 0.0)' for k in STEPS)}) / ({' + '.join(f'(s{k} IS NOT NULL)::INT' for k in STEPS)}), 8) AS mean FROM w"""
+SELECT qid, '…' || right(list_extract(string_split(CAST(qid AS VARCHAR), '_'), -1), 4) AS label, n_hop, s0, s1, s2, s3, round(({' + '.join(f'coalesce(s{k}, 0.0)' for k in STEPS)}) / ({' + '.join(f'(s{k} IS NOT NULL)::INT' for k in STEPS)}), 6) AS mean FROM w"""
 
 
 def _answerable(a: DataFrame, step: int) -> DataFrame:
