@@ -281,6 +281,19 @@ def test_pii(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_trees_add_disguised_data(spark):
+    number = lambda n: "".join(map(str, rng.integers(1, 10, n)))
+    hidden = {1000 + k: f"{prose(5)} mail me at user{k} (at) site{k} (dot) org {prose(4)}" for k in range(1)}
+    data = {k: f"{prose(6)} contact user{k}@host{k}.org or call +1 {number(3)} {number(7)} {prose(6)}" for k in range(300)}
+    data |= {k: f"{prose(6)} {number(12)} {prose(3)} {number(9)} {prose(2)}" for k in range(300, 600)}
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame([*(data | hidden).items()], "doc_id long, text string")).collect()}
+    found = {k: [hidden[k][int(b) : int(e)] for _, b, e in (x.split(":") for x in got[k].spans.split(",") if x)] for k in hidden}
+    assert all(any("(at)" in x for x in v) for v in found.values()), (found, hidden)
+    assert all(got[k].n_email == 0 for k in hidden)
+    clean = [k for k in range(300, 600) if got[k].n_spans]
+    assert len(clean) <= 6  # the calibrated precision: of what is selected at most one in fifty is wrong
+
+
 def test_trees_are_read():
     class Printed:
         toDebugString = "GBT: numTrees=2\n  Tree 0 (weight 1.0):\n    If (feature 1 <= 9.5)\n     Predict: -1.0\n    Else (feature 1 > 9.5)\n     If (feature 8 <= 0.5)\n      Predict: 0.25\n     Else (feature 8 > 0.5)\n      Predict: 1.0\n  Tree 1 (weight 0.1):\n    Predict: 0.5\n"
