@@ -77,7 +77,7 @@ CAST(floor(score * 60) AS BIGINT) AS bin, count(*) AS n FROM scores GROUP BY ALL
 
 
 def what_if(spark, sf_dir):
-    """Mean per instruction as it is, and with low scores of busy weeks set to one; its change against the step before (AG23, AG24, MT14)."""
+    """Mean per instruction as it is, and with low scores of busy weeks set to one; its change against the step before (AG23)."""
     s = scores(spark, sf_dir)
     fixed = F.when((F.col("score") < 0.3) & (F.col("n_events") >= 3), 1.0).otherwise(F.col("score"))
     m = s.groupBy("instruction_type", "step").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.avg(fixed), 6).alias("what_if"))
@@ -183,7 +183,7 @@ SELECT count(*) AS n, count(*) - count(DISTINCT qid) - 1 AS df, round(sum(x * y)
 
 
 def contingency(spark, sf_dir):
-    """Order priority against status: chi2, G, Cramer's V (SA28-SA30)."""
+    """Order priority against status: chi2, G, Cramer's V (SA29, SA30)."""
     return ranks.contingency(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
 
 

@@ -41,7 +41,7 @@ FROM l WHERE score IS NOT NULL GROUP BY metric, step"""
 
 
 def similarity_by_chain(spark, sf_dir):
-    """Both F1 values of every step of every chain (MT1, MT14)."""
+    """Both F1 values of every step of every chain (MT1)."""
     sim = chains.step_similarity(load_chains(spark, sf_dir), KEYS)
     return sim.select("qid", "run", "step", F.round("f1_original", 6).alias("f1_original"), F.round("f1_consecutive", 6).alias("f1_consecutive"))
 
@@ -59,15 +59,23 @@ NORMALIZED_ANSWERS = f"SELECT doc_id, md5(array_to_string({T.format('text')}, '
 
 
 def best_reference(spark, sf_dir):
-    """Each conversation's last turn against its earlier turns' first lines as references: best F1, first on ties (MT2)."""
-    c = load_chains(spark, sf_dir).withColumn("line", F.get(F.split("text", "\n"), 0))
-    whole = c.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("step", "line"))).alias("turns")).where("size(turns) > 1")
-    refs = F.transform(F.slice("turns", 1, F.size("turns") - 1), lambda t: t["line"])
-    scored = whole.select("qid", text.best_f1(refs, F.element_at("turns", -1)["line"]).alias("best"))
-    return scored.select("qid", F.round("best.score", 6).alias("score"), F.md5("best.reference").alias("reference_md5"))
-
-
-BEST_REFERENCE = f"""WITH {CHAINS_SQL}, c AS (SELECT qid, step, string_split(text, chr(10))[1] AS line, max(step) OVER (PARTITION BY qid) AS last FROM chains),
+    """Each conversation's last turn against its earlier turns as references: best F1, first on ties (MT2).
+
+    Tokens are counted per turn and met by joins, so no conversation is gathered in a row.
+    """
+    c = load_chains(spark, sf_dir).select("qid", "step", "text", text.answer_tokens(F.col("text")).alias("tokens"))
+    last = c.groupBy("qid").agg(F.max("step").alias("last"))
+    count = c.select("qid", "step", F.explode("tokens").alias("token")).groupBy("qid", "step", "token").agg(F.count(F.lit(1)).alias("n")).join(last, "qid")
+    final = count.where("step = last").select("qid", "token", F.col("n").alias("m"))
+    shared = count.where("step < last").join(final, ["qid", "token"]).groupBy("qid", "step").agg(F.sum(F.least("n", "m")).alias("shared"))
+    sized = c.select("qid", "step", "text", F.size("tokens").alias("n")).join(last, "qid")
+    pairs = sized.where("step < last").join(sized.where("step = last").select("qid", F.col("n").alias("m")), "qid").join(shared, ["qid", "step"], "left")
+    scored = pairs.select("qid", text.f1(F.coalesce("shared", F.lit(0)), F.col("n"), F.col("m")).alias("score"), (-F.col("step")).alias("first"), F.md5("text").alias("reference_md5"))
+    best = scored.groupBy("qid").agg(F.max(F.struct("score", "first", "reference_md5")).alias("best"))
+    return best.select("qid", F.round("best.score", 6).alias("score"), "best.reference_md5")
+
+
+BEST_REFERENCE = f"""WITH {CHAINS_SQL}, c AS (SELECT qid, step, text AS line, max(step) OVER (PARTITION BY qid) AS last FROM chains),
 tok AS (SELECT qid, step, unnest({T.format('line')}) AS token FROM c), cnt AS (SELECT qid, step, token, count(*) AS n FROM tok GROUP BY ALL),
 tot AS (SELECT qid, step, CAST(len({T.format('line')}) AS BIGINT) AS n, line, last FROM c),
 sh AS (SELECT a.qid, a.step, CAST(sum(least(a.n, b.n)) AS BIGINT) AS s FROM cnt a JOIN tot t ON t.qid = a.qid AND t.step = a.step JOIN cnt b ON b.qid = a.qid AND b.token = a.token AND b.step = t.last GROUP BY ALL),
@@ -157,7 +165,7 @@ facts AS (SELECT doc_id, lang, fact, CASE WHEN count(*) OVER (PARTITION BY fact)
 
 
 def fact_scores(spark, sf_dir):
-    """Supported share with the length penalty per document (MT4, MT7, SNK4)."""
+    """Supported share with the length penalty per document (MT4, MT7)."""
     return facts.fact_score(_document_facts(spark, sf_dir), ["doc_id"])
 
 
@@ -209,8 +217,8 @@ c AS (SELECT role, kind, count(*) AS n FROM k GROUP BY ALL) SELECT role, kind, n
 
 
 def demo_retrieval(spark, sf_dir):
-    """The benchmark item BM25 ranks first for each document's first line (MT13)."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("qid"), F.get(F.split("text", "\n"), 0).alias("text"))
+    """The benchmark item BM25 ranks first for each whole document (MT13)."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("qid"), "text")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("did"), "text")
     return retrieval.bm25_top(d, b).select("qid", "did", "score")
 
@@ -220,7 +228,7 @@ size AS (SELECT count(DISTINCT did) AS n_docs, count(*) / count(DISTINCT did) AS
 tf0 AS (SELECT did, token, count(*) AS tf FROM tk GROUP BY ALL), tf AS (SELECT *, sum(tf) OVER (PARTITION BY did) AS dl, count(*) OVER (PARTITION BY token) AS df FROM tf0),
 i0 AS (SELECT DISTINCT token, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf FROM tf, size), i AS (SELECT token, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER () ELSE idf END AS idf FROM i0),
 p AS (SELECT token, did, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS w FROM tf JOIN i USING (token), size),
-q AS (SELECT doc_id AS qid, unnest(string_split(string_split(text, chr(10))[1], ' ')) AS token FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id AS qid, unnest(string_split(text, ' ')) AS token FROM documents WHERE text IS NOT NULL),
 s AS (SELECT qid, did, round(sum(w), 6) AS score FROM q JOIN p USING (token) GROUP BY ALL)
 SELECT qid, did, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rn FROM s) WHERE rn = 1"""
 
