@@ -142,12 +142,12 @@ SUPPORTED_PERCENT = f"{_M}, f AS (SELECT instruction_type, step, CAST(sum(n_fact
 def run_deltas(spark, sf_dir):
     """Mean by instruction and step in two experiments, and their difference (AG24)."""
     a = _metrics(spark, sf_dir)[0]
-    mean = lambda run: a.where(F.col("run") == run).groupBy("instruction_type", "step").agg(F.round(F.avg("answer_f1"), 6).alias(f"run{run}"))
-    return mean(0).join(mean(1), ["instruction_type", "step"]).withColumn("delta", F.round(F.col("run1") - F.col("run0"), 6))
+    mean = lambda run: a.where(F.col("run") == run).groupBy("instruction_type", "step").agg(F.round(F.avg("answer_f1"), 9).alias(f"run{run}"))
+    return mean(0).join(mean(1), ["instruction_type", "step"]).withColumn("delta", F.round(F.col("run1") - F.col("run0"), 9))
 
 
-RUN_DELTAS = f"""{_M}, m AS (SELECT instruction_type, step, round(avg(answer_f1) FILTER (WHERE run = 0), 6) AS run0, round(avg(answer_f1) FILTER (WHERE run = 1), 6) AS run1 FROM answer GROUP BY ALL)
-SELECT *, round(run1 - run0, 6) AS delta FROM m WHERE run0 IS NOT NULL AND run1 IS NOT NULL"""
+RUN_DELTAS = f"""{_M}, m AS (SELECT instruction_type, step, round(avg(answer_f1) FILTER (WHERE run = 0), 9) AS run0, round(avg(answer_f1) FILTER (WHERE run = 1), 9) AS run1 FROM answer GROUP BY ALL)
+SELECT *, round(run1 - run0, 9) AS delta FROM m WHERE run0 IS NOT NULL AND run1 IS NOT NULL"""
 
 
 def step_deltas(spark, sf_dir):
@@ -155,12 +155,12 @@ def step_deltas(spark, sf_dir):
     w = aggregates.wide(_metrics(spark, sf_dir)[0], CHAIN, "step", STEPS, F.first("answer_f1"))
     pairs = [(0, 1), (1, 2), (2, 3), (0, 3)]
     long = w.select("instruction_type", F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), (F.col(f"s{b}") - F.col(f"s{a}")).alias("d")) for a, b in pairs])).alias("x")).select("instruction_type", "x.*")
-    return long.groupBy("instruction_type", "contrast").agg(F.count("d").alias("n"), F.round(F.avg("d"), 6).alias("delta"))
+    return long.groupBy("instruction_type", "contrast").agg(F.count("d").alias("n"), F.round(F.avg("d"), 9).alias("delta"))
 
 
 STEP_DELTAS = f"""{_M}, w AS (SELECT {', '.join(CHAIN)}, {', '.join(f'max(answer_f1) FILTER (WHERE step = {k}) AS s{k}' for k in STEPS)} FROM answer GROUP BY ALL),
 l AS ({' UNION ALL '.join(f"SELECT instruction_type, '{a}-{b}' AS contrast, s{b} - s{a} AS d FROM w" for a, b in ((0, 1), (1, 2), (2, 3), (0, 3)))})
-SELECT instruction_type, contrast, count(d) AS n, round(avg(d), 6) AS delta FROM l GROUP BY ALL"""
+SELECT instruction_type, contrast, count(d) AS n, round(avg(d), 9) AS delta FROM l GROUP BY ALL"""
 
 
 def heatmap(spark, sf_dir):
