@@ -46,6 +46,12 @@ def quoted_items(reply: Column, field: str) -> Column:
     return F.regexp_extract_all(body, F.lit(r'"((?:[^"\\]|\\.)*)"'), 1)
 
 
+def survival(reply: Column) -> Column:
+    """Whether a fact SURVIVED: LOST if the reply says false and not true, ERROR if there is none."""
+    low = F.lower(reply)
+    return F.when(reply.isNull(), "ERROR").when(low.contains("false") & ~low.contains("true"), "LOST").otherwise("SURVIVED")
+
+
 def hallucination(first: Column, second: Column) -> Column:
     """Final class of two judgements: extrinsic claims are told apart by what is known of the world."""
     return (

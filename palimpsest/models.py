@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -10,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import labels
+from palimpsest.functions import text as texts
+
 
 class Model(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
@@ -22,6 +26,23 @@ class Shortener:
         return [" ".join(w for k, w in enumerate(p.split()) if hashlib.md5(f"{k}{w}".encode()).digest()[0] % 10) for p in prompts]
 
 
+class Retrying:
+    """A model whose transient failures are tried again after 1, 2, 4, ... seconds; permanent ones are raised at once."""
+
+    def __init__(self, model: Model, permanent: tuple[type[Exception], ...] = (ValueError, PermissionError), tries: int = 5, wait: Callable[[float], object] = time.sleep) -> None:
+        self.model, self.permanent, self.tries, self.wait = model, permanent, tries, wait
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        for k in range(self.tries - 1):
+            try:
+                return self.model.generate(prompts)
+            except self.permanent:
+                raise
+            except Exception:
+                self.wait(2.0**k)
+        return self.model.generate(prompts)
+
+
 def replies(load: Callable[[], Model], batch_size: int = 64) -> Callable[[Column], Column]:
     """An Arrow function over prompts; ``load`` runs once per worker and task."""
 
@@ -51,3 +72,52 @@ def run_chains(plan: DataFrame, load: Callable[[], Model], steps: int = 3, promp
         state = state.withColumn(f"e{k + 1}", ask(prompt(F.col(f"e{k}"))))
     rows = F.array(*[F.col(f"e{k}") for k in range(steps + 1)])
     return state.select(*keys, F.posexplode(rows).alias("step", "text"))
+
+
+def rewriter_prompt(text: Column) -> Column:
+    return F.concat(F.lit("Rewrite: "), text)
+
+
+def critic_prompt(text: Column, draft: Column, history: Column) -> Column:
+    """``history``: array of the feedback of earlier steps."""
+    return F.concat_ws("\n", F.concat(F.lit("Source: "), text), F.concat(F.lit("Draft: "), draft), F.concat(F.lit("Earlier: "), F.array_join(history, "; ")))
+
+
+def refiner_prompt(draft: Column, feedback: Column) -> Column:
+    return F.concat_ws("\n", F.concat(F.lit("Draft: "), draft), F.concat(F.lit("Feedback: "), feedback))
+
+
+def self_refine(plan: DataFrame, load: Callable[[], Model], steps: int = 3) -> DataFrame:
+    """In each step a draft is written, criticised in view of the earlier feedback, and refined: a row per step with
+    the refined text, the draft and the feedback (null at step 0)."""
+    ask = replies(load)
+    keys = [c for c in plan.columns if c != "text"]
+    none = F.lit(None).cast("string")
+    state = plan.select(*keys, F.coalesce("text", F.lit("")).alias("e0"), F.array().cast("array<string>").alias("history"))
+    for k in range(1, steps + 1):
+        state = state.withColumn(f"d{k}", ask(rewriter_prompt(F.col(f"e{k - 1}"))))
+        state = state.withColumn(f"c{k}", ask(critic_prompt(F.col(f"e{k - 1}"), F.col(f"d{k}"), F.col("history"))))
+        state = state.withColumn(f"e{k}", ask(refiner_prompt(F.col(f"d{k}"), F.col(f"c{k}")))).withColumn("history", F.concat("history", F.array(f"c{k}")))
+    row = lambda k: F.struct(F.lit(k).alias("step"), F.col(f"e{k}").alias("text"), (F.col(f"d{k}") if k else none).alias("draft_text"), (F.col(f"c{k}") if k else none).alias("critic_feedback"))
+    return state.select(*keys, F.explode(F.array(*map(row, range(steps + 1)))).alias("r")).select(*keys, "r.*")
+
+
+def listed_facts(df: DataFrame, load: Callable[[], Model], prompt: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """A row per fact that the model lists for ``text``, in place of it."""
+    facts = texts.atomic_facts(replies(load)(prompt(F.col("text"))))
+    return df.select(*[c for c in df.columns if c != "text"], F.explode(facts).alias("fact"))
+
+
+def judged_facts(df: DataFrame, load: Callable[[], Model]) -> DataFrame:
+    """``df`` (source, topic, fact) and ``label``: whether the model holds the fact to be supported by the source."""
+    asked = F.concat(F.lit("Topic: "), F.coalesce("topic", F.lit("")), F.lit("\nContext: "), F.coalesce("source", F.lit("")), F.lit("\nClaim: "), F.col("fact"), F.lit("\nIs the claim true or false?"))
+    return df.withColumn("label", labels.support_label(replies(load)(asked)))
+
+
+def compare_prompts(plan: DataFrame, load: Callable[[], Model], prompts: dict[str, Callable[[Column], Column]], steps: int = 1) -> DataFrame:
+    """The same chains under several prompts, such as with and without a system prompt; ``prompt`` names them."""
+    runs = [run_chains(plan, load, steps, make).withColumn("prompt", F.lit(name)) for name, make in prompts.items()]
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out

@@ -1,8 +1,11 @@
 """The model interface with its stand-in, and incremental scoring of arriving files."""
 
+import oracle
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import models
+from palimpsest.jobs import model_jobs
 from palimpsest.streaming.incremental import score_stream
 
 
@@ -13,6 +16,71 @@ def test_chains_of_the_stand_in(spark):
     assert len(out[1].text.split()) < 40 and out[1].text == models.Shortener().generate([out[0].text])[0]
 
 
+def test_self_refine_keeps_the_feedback(spark):
+    class Echo:
+        def generate(self, prompts):
+            return [p.replace("\n", "/") for p in prompts]
+
+    out = models.self_refine(spark.createDataFrame([("a", "x")], "qid string, text string"), Echo, 2).orderBy("step").collect()
+    assert [r.draft_text for r in out[:2]] == [None, "Rewrite: x"] and out[0].text == "x" and out[0].critic_feedback is None
+    assert out[1].critic_feedback == "Source: x/Draft: Rewrite: x/Earlier: "
+    assert out[1].text == f"Draft: Rewrite: x/Feedback: {out[1].critic_feedback}"
+    assert out[2].draft_text == f"Rewrite: {out[1].text}" and out[2].critic_feedback.endswith(f"Earlier: {out[1].critic_feedback}")
+
+
+def test_refined_chains_against_a_loop(spark):
+    ask = lambda p: models.Shortener().generate([p])[0]
+    want = set()
+    for t in spark.read.parquet(f"{oracle.SF_DIR}/conversations.parquet").select("conv_id", "turn", "text").collect():
+        text, history = t.text or "", []
+        want.add((t.conv_id, t.turn, 0, text, None, None))
+        for k in range(1, model_jobs.STEPS + 1):
+            draft = ask(f"Rewrite: {text}")
+            history.append(ask(f"Source: {text}\nDraft: {draft}\nEarlier: {'; '.join(history)}"))
+            text = ask(f"Draft: {draft}\nFeedback: {history[-1]}")
+            want.add((t.conv_id, t.turn, k, text, draft, history[-1]))
+    assert set(map(tuple, model_jobs.refined_chains(spark, oracle.SF_DIR).collect())) == want
+
+
+def test_facts_and_their_labels(spark):
+    class Lister:
+        def generate(self, prompts):
+            return ["Facts:\n" + "\n".join(f"- {s.strip()}" for s in p.split(".") if s.strip()) for p in prompts]
+
+    class Reader:
+        def generate(self, prompts):
+            return [str(p.split("Claim: ")[1].split("\n")[0].rstrip(".") in p.split("Claim: ")[0]) for p in prompts]
+
+    facts = models.listed_facts(spark.createDataFrame([(1, "One. Two"), (2, ""), (3, None)], "k int, text string"), Lister)
+    assert sorted(map(tuple, facts.collect())) == [(1, "One."), (1, "Two.")]
+    asked = spark.createDataFrame([(1, "One and three", "t", "One."), (2, "One", None, "Two.")], "k int, source string, topic string, fact string")
+    assert {r.k: r.label for r in models.judged_facts(asked, Reader).collect()} == {1: "SUPPORTED", 2: "NOT_SUPPORTED"}
+
+
+def test_retries():
+    class Failing:
+        def __init__(self, errors):
+            self.errors = errors
+
+        def generate(self, prompts):
+            if self.errors:
+                raise self.errors.pop(0)
+            return prompts
+
+    waits = []
+    assert models.Retrying(Failing([OSError(), OSError()]), wait=waits.append).generate(["a"]) == ["a"] and waits == [1, 2]
+    for errors, kind, n in (([ValueError()], ValueError, 2), ([OSError()] * 3, OSError, 4)):
+        with pytest.raises(kind):
+            models.Retrying(Failing(errors), tries=3, wait=waits.append).generate(["a"])
+        assert len(waits) == n
+
+
+def test_prompts_side_by_side(spark):
+    plan = spark.createDataFrame([("a", "one two three")], "qid string, text string")
+    out = models.compare_prompts(plan, models.Shortener, {"plain": lambda c: c, "system": lambda c: F.concat(F.lit("Be brief. "), c)})
+    assert {(r.prompt, r.step) for r in out.collect()} == {("plain", 0), ("plain", 1), ("system", 0), ("system", 1)}
+
+
 def test_incremental_scoring(spark, tmp_path):
     src, dst = f"{tmp_path}/in", f"{tmp_path}/out"
     for rows in ([(1, "a b"), (2, "c")], [(2, "c"), (3, "d e f")]):
