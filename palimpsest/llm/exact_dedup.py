@@ -80,7 +80,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without later copies, with their columns; rows the filter clears never shuffle."""
+    """The rows of ``docs`` without later copies, with their columns; rows the filter clears don't shuffle while the filter
+    can be broadcast (see :func:`flag_possible_copies`)."""
     digests = docs.select(F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"))
