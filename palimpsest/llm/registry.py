@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import decontaminate, exact_dedup, langid, packing, paragraphs, pii, simhash, suffixes, tokencount, url_graph
+from palimpsest.llm import decontaminate, exact_dedup, langid, merkle, packing, paragraphs, periodic, pii, simhash, suffixes, tokencount, toxicity, url_graph
 from palimpsest.llm.common import table
 
 
@@ -49,6 +49,19 @@ def op8_simhash(spark, sf_dir):
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.digests(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.verification(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii_spans": op1_pii_spans,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -60,6 +73,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_toxicity": op11_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
