@@ -230,3 +230,38 @@ def verification(docs: DataFrame) -> DataFrame:
     found = manifest(tampered(docs), keep=("tampered_leaf",))
     again = folded(F.col("tampered_leaf"), F.col("path"))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"), again.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def oracle_sql(levels: int = 48) -> str:
+    """The digests of ``verification`` in SQL: level after level of all trees, then a walk from each leaf to the root."""
+    crc = """CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+             lambda s, c: list_reduce(list_prepend(xor(s, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)))), 4294967295) AS BIGINT)"""
+    text = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END"
+    digest = lambda n: "sha256(" + " || ".join(text(n if c == "n_chars" else c) for c in FIELDS) + ")"
+    changed = f"n_chars + CASE WHEN {crc} % 7 = 0 THEN 1 ELSE 0 END"
+    climb = lambda name: f"""
+        SELECT grp, CAST(lvl + 1 AS INTEGER), pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+        FROM {name} WHERE n > 1 AND lvl < {levels} GROUP BY grp, lvl, pos // 2, n"""
+    walk = lambda tree, name: f"""
+        SELECT w.doc_id, w.leaf, w.grp, w.lvl + 1, w.pos // 2, w.proof || coalesce(s.digest, ''),
+               sha256(CASE WHEN w.pos % 2 = 1 THEN s.digest || w.own ELSE w.own || coalesce(s.digest, '') END)
+        FROM {name} w JOIN {tree} t ON t.grp = w.grp AND t.lvl = w.lvl AND t.pos = w.pos AND t.n > 1
+        LEFT JOIN {tree} s ON s.grp = w.grp AND s.lvl = w.lvl AND s.pos = xor(w.pos, 1)"""
+    return f"""
+        WITH RECURSIVE leaves AS MATERIALIZED (
+            SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS grp, {digest('n_chars')} AS leaf, {digest(changed)} AS changed
+            FROM documents),
+        placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+        lower_(grp, lvl, pos, digest, n) AS (SELECT grp, 0, pos, leaf, n FROM placed UNION ALL {climb('lower_')}),
+        lower_tree AS MATERIALIZED (SELECT * FROM lower_),
+        subroots AS MATERIALIZED (SELECT grp AS lang_grp, digest FROM lower_tree WHERE n = 1),
+        upper_(grp, lvl, pos, digest, n) AS (
+            SELECT 0::BIGINT, 0, lang_grp - 1, digest, count(*) OVER () FROM subroots UNION ALL {climb('upper_')}),
+        upper_tree AS MATERIALIZED (SELECT * FROM upper_),
+        first_(doc_id, leaf, grp, lvl, pos, proof, own) AS (SELECT doc_id, leaf, grp, 0, pos, '', changed FROM placed UNION ALL {walk('lower_tree', 'first_')}),
+        first_done AS MATERIALIZED (SELECT * FROM first_ QUALIFY lvl = max(lvl) OVER (PARTITION BY doc_id)),
+        second_(doc_id, leaf, grp, lvl, pos, proof, own) AS (SELECT doc_id, leaf, 0::BIGINT, 0, grp - 1, proof, own FROM first_done UNION ALL {walk('upper_tree', 'second_')}),
+        done AS MATERIALIZED (SELECT * FROM second_ QUALIFY lvl = max(lvl) OVER (PARTITION BY doc_id)),
+        top AS (SELECT digest AS root FROM upper_tree WHERE n = 1)
+        SELECT d.doc_id, d.leaf, s.digest AS subroot, root, sha256(d.proof) AS proof_sha256, d.own AS folded_root, d.own = root AS verified
+        FROM done d JOIN placed p USING (doc_id) JOIN subroots s ON s.lang_grp = p.grp CROSS JOIN top"""

@@ -79,6 +79,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op13_merkle_manifest": merkle.oracle_sql(),
     "op10_decontamination": decontaminate.oracle_sql(),
     "op6_url_graph": url_graph.oracle_sql(),
     "op3_exact_dedup": r"""
