@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.jobs import inference_jobs, metric_jobs, model_jobs, stats_jobs, text_jobs
+from palimpsest.jobs import inference_jobs, metric_jobs, mixed_jobs, model_jobs, stats_jobs, text_jobs
 
 FLAGSHIP = "rewrite_similarity"
-_JOBS = text_jobs.JOBS | stats_jobs.JOBS | metric_jobs.JOBS | inference_jobs.JOBS | model_jobs.JOBS
+_JOBS = text_jobs.JOBS | stats_jobs.JOBS | metric_jobs.JOBS | inference_jobs.JOBS | model_jobs.JOBS | mixed_jobs.JOBS
 QUERIES = {name: job for name, (job, _) in _JOBS.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _JOBS.items() if sql is not None}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import aggregates, bootstrap, chains, ranks, regression, survival
+from palimpsest.operators import aggregates, bootstrap, chains, mixed, ranks, regression, survival
 from palimpsest.sources.adapters import SCORES_SQL, scores, subject_means, subject_sql, table
 
 STEPS = [0, 1, 2, 3]
@@ -274,7 +274,7 @@ m AS (SELECT b, sum(w * s) / sum(w * c) AS mean FROM w GROUP BY b) SELECT count(
 def mixed_model(spark, sf_dir):
     """Random-intercept model of the score on the week (SA5, SA6); an iterative fit, so without SQL."""
     s = scores(spark, sf_dir).withColumn("week", F.col("step").cast("double"))
-    m = regression.random_intercept(s, "score", ["week"], "qid")
+    m = mixed.fit(s, "score", mixed.Design().term("week"), "qid")
     rows = [(*r, m.ratio, m.icc, m.n, m.groups) for r in m.table()]
     return spark.createDataFrame(rows, "term string, coef double, se double, z double, p double, variance_ratio double, icc double, n long, `groups` long")
 

@@ -1,15 +1,12 @@
-"""Least squares, mediation and random-intercept models from sums that Spark makes."""
+"""Least squares, mediation and equivalence from sums that Spark makes."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.distributions import normal_tail, t_tail
+from palimpsest.operators.distributions import t_tail
 
 
 def moments(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -49,77 +46,6 @@ def mediation(df: DataFrame, treatment: str, mediator: str, outcome: str, keys:
     return s.select(*(keys or []), "n", *[F.round(k, 6).alias(k) for k in ("c", "a", "b", "direct", "ab")], F.round(F.try_divide("ab", F.col("c")), 4).alias("proportion"))
 
 
-@dataclass
-class MixedModel:
-    names: list[str]
-    beta: np.ndarray
-    se: np.ndarray
-    ratio: float  # group variance over residual variance
-    residual: float
-    log_likelihood: float
-    n: int
-    groups: int
-
-    @property
-    def icc(self) -> float:
-        return self.ratio / (1 + self.ratio)
-
-    def table(self) -> list[tuple[str, float, float, float, float]]:
-        return [(k, float(b), float(s), float(b / s), 2 * normal_tail(abs(b / s))) for k, b, s in zip(self.names, self.beta, self.se, strict=True)]
-
-
-def random_intercept(df: DataFrame, y: str, x: list[str], group: str) -> MixedModel:
-    """REML fit of y on x with an intercept per group, by a search over one variance ratio.
-
-    Spark sums products per group, then adds up what the likelihood needs, by group size: groups of one size enter it
-    alike, so a row per distinct size (and not per group) reaches the driver.
-    """
-    p = len(x) + 1
-    per_group = moments(df, [*x, y], [group])
-    firsts = [f"xy_0_{j}" for j in range(p + 1)]
-    sums = [F.sum(f"xy_{i}_{j}").alias(f"t_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
-    outer = [F.sum(F.col(firsts[i]) * F.col(firsts[j])).alias(f"o_{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
-    rows = per_group.groupBy(F.col("xy_0_0").cast("long").alias("size")).agg(F.count(F.lit(1)).alias("k"), *sums, *outer).collect()
-    total, by_size = np.zeros((p + 1, p + 1)), []
-    for r in rows:
-        o = np.zeros((p + 1, p + 1))
-        for i in range(p + 1):
-            for j in range(i, p + 1):
-                total[i, j] += r[f"t_{i}_{j}"]
-                o[i, j] = o[j, i] = r[f"o_{i}_{j}"]
-        by_size.append((r["size"], r.k, o))
-    total = np.triu(total) + np.triu(total, 1).T
-    n, groups = int(sum(s * k for s, k, _ in by_size)), int(sum(k for _, k, _ in by_size))
-
-    def fit(ratio: float):
-        w = total - sum(ratio / (1 + s * ratio) * o for s, _, o in by_size)
-        xx, xy, yy = w[:p, :p], w[:p, p], w[p, p]
-        beta = np.linalg.solve(xx, xy)
-        sigma = max((yy - xy @ beta) / (n - p), 1e-300)
-        logdet = sum(k * math.log1p(s * ratio) for s, k, _ in by_size)
-        ll = -0.5 * ((n - p) * (math.log(2 * math.pi * sigma) + 1) + logdet + np.linalg.slogdet(xx)[1])
-        return ll, beta, sigma, xx
-
-    lo, hi = -14.0, 8.0  # log of the ratio, by golden section
-    g = (math.sqrt(5) - 1) / 2
-    a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-    fa, fb = fit(math.exp(a))[0], fit(math.exp(b))[0]
-    while hi - lo > 1e-9:
-        if fa < fb:
-            lo, a, fa = a, b, fb
-            b = lo + g * (hi - lo)
-            fb = fit(math.exp(b))[0]
-        else:
-            hi, b, fb = b, a, fa
-            a = hi - g * (hi - lo)
-            fa = fit(math.exp(a))[0]
-    ratio = math.exp((lo + hi) / 2)
-    if fit(0.0)[0] >= fit(ratio)[0]:
-        ratio = 0.0
-    ll, beta, sigma, xx = fit(ratio)
-    return MixedModel(["Intercept", *x], beta, np.sqrt(np.diag(np.linalg.inv(xx)) * sigma), ratio, sigma, ll, n, groups)
-
-
 def equivalence(pairs: DataFrame, diff: str, bound: float, keys: list[str] | None = None) -> DataFrame:
     """n, mean, sd and the two t statistics of a paired equivalence test; the p is ``equivalence_p``."""
     s = pairs.where(F.col(diff).isNotNull()).groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), F.avg(diff).alias("m"), F.stddev_samp(diff).alias("sd"))

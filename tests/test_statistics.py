@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import chains, ranks, regression, survival
+from palimpsest.operators import chains, mixed, ranks, regression, survival
 from palimpsest.sources import sinks
 
 # Published counts of (first hit, duration, event) over 202 recoveries.
@@ -65,7 +65,7 @@ def test_mixed_model_balanced(spark):
     rng = np.random.default_rng(3)
     y = rng.normal(size=(40, 1)) + rng.normal(size=(40, 6))
     df = spark.createDataFrame([(g, float(v)) for g in range(40) for v in y[g]], "g int, y double")
-    m = regression.random_intercept(df, "y", [], "g")
+    m = mixed.fit(df, "y", mixed.Design(), "g")
     within = y.var(axis=1, ddof=1).mean()
     between = (6 * y.mean(axis=1).var(ddof=1) - within) / 6
     assert m.residual == pytest.approx(within, rel=1e-5) and m.ratio == pytest.approx(between / within, rel=1e-4)
