@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import labels, text
-from palimpsest.operators import aggregates, chains, facts, retrieval
+from palimpsest.operators import aggregates, chains, facts, matching, retrieval
 from palimpsest.sources.adapters import CHAINS_SQL, INSTRUCTIONS, table
 from palimpsest.sources.adapters import chains as load_chains
 from palimpsest.sources.sinks import keep_last
@@ -283,11 +283,14 @@ ID_SETS = "SELECT doc_id, 'labelled_en' AS part FROM (SELECT doc_id FROM documen
 
 
 def embedding_neighbours(spark, sf_dir):
-    """Cosine of each vector to its label's mean vector, the three closest per label (MT10 on given vectors, ST2)."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
-    mean = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    dots = e.join(mean, ["label", "i"]).groupBy("label", "vec_id").agg(F.sum(F.col("x") * F.col("m")).alias("xm"), F.sum(F.col("x").cast("double") * F.col("x")).alias("xx"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-    scored = dots.select("label", "vec_id", F.round(F.try_divide("xm", F.sqrt(F.col("xx") * F.col("mm"))), 5).alias("cosine"))
+    """Cosine of each vector to its label's mean vector, the three closest per label (ST2)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    first = e.where("x is not null").select(F.size("x").alias("n")).first()
+    size = first.n if first else 0
+    mean = e.groupBy("label").agg(F.array(*[F.avg(F.get("x", k)) for k in range(size)]).alias("m"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    cosine = F.try_divide(dot("x", "m"), F.sqrt(dot("x", "x") * dot("m", "m")))
+    scored = e.where("x is not null").join(mean, "label").select("label", "vec_id", F.round(cosine, 5).alias("cosine"))
     return chains.head_per_group(scored, ["label"], [F.desc("cosine"), "vec_id"], 3)
 
 
@@ -296,6 +299,37 @@ s AS (SELECT label, vec_id, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 5)
 SELECT label, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS rn FROM s) WHERE rn <= 3"""
 
 
+def token_vectors(spark, sf_dir, rows):
+    """(qid, step, pos, vector): a vector of ``embeddings`` for every token, chosen by the token's hash, as the stand-in
+    for a model's token vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
+    size = e.agg(F.max("v") + 1).first()[0] or 1
+    tokens = rows.select("qid", "step", F.posexplode(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("pos", "token"))
+    chosen = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % size
+    return tokens.select("qid", "step", "pos", chosen.alias("v")).join(e, "v").drop("v")
+
+
+def token_matching(spark, sf_dir):
+    """Greedy token matching of each turn with the first and with the one before: precision, recall, F (MT10)."""
+    found = matching.step_matching(token_vectors(spark, sf_dir, load_chains(spark, sf_dir)), ["qid"])
+    return found.select("qid", "step", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
+
+
+TOKEN_MATCHING = f"""WITH {CHAINS_SQL}, size AS (SELECT max(vec_id) + 1 AS k FROM embeddings),
+e AS (SELECT vec_id, list_transform(x, lambda v: v / n) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)),
+w AS (SELECT qid, step, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS ws FROM chains),
+tk AS (SELECT qid, step, unnest(range(len(ws))) AS pos, unnest(ws) AS token FROM w),
+tv AS (SELECT qid, step, pos, CAST('0x' || substring(md5(token), 1, 8) AS BIGINT) % k AS v FROM tk, size),
+near AS (SELECT a.vec_id AS v, b.vec_id AS o, list_inner_product(a.u, b.u) AS c FROM e a, e b),
+p AS (SELECT DISTINCT qid, step, kind, CASE kind WHEN 'baseline' THEN 0 ELSE step - 1 END AS ref FROM tv, (VALUES ('baseline'), ('consecutive')) k(kind) WHERE step > 0),
+m AS (SELECT p.qid, p.step, kind, a.pos AS i, b.pos AS j, c FROM p JOIN tv a ON a.qid = p.qid AND a.step = p.step JOIN tv b ON b.qid = p.qid AND b.step = p.ref JOIN near ON near.v = a.v AND near.o = b.v),
+pr AS (SELECT qid, step, kind, avg(c) AS p FROM (SELECT qid, step, kind, i, max(c) AS c FROM m GROUP BY ALL) GROUP BY ALL),
+rc AS (SELECT qid, step, kind, avg(c) AS r FROM (SELECT qid, step, kind, j, max(c) AS c FROM m GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT qid, step, kind, p, r, 2 * p * r / (p + r) AS f FROM pr JOIN rc USING (qid, step, kind))
+SELECT qid, step, {', '.join(f"round(max({c}) FILTER (WHERE kind = '{k}'), 6) AS {n}_{k}" for k in ('baseline', 'consecutive') for c, n in (('p', 'precision'), ('r', 'recall'), ('f', 'f1')))}
+FROM (SELECT DISTINCT qid, step FROM p) LEFT JOIN s USING (qid, step) GROUP BY qid, step"""
+
+
 def perplexity_windows(spark, sf_dir):
     """Sliding windows (length 2048, stride 1024) over the words of every document, and the words each one scores (MT12)."""
     d = table(spark, sf_dir, "documents").select("doc_id", text.whitespace_tokens(F.col("text")).cast("long").alias("n"))
@@ -325,6 +359,6 @@ JOBS = {
     "original_scores": (original_scores, ORIGINAL_SCORES), "rewriting_plan": (plan, PLAN), "trajectories": (trajectories, TRAJECTORIES), "fact_scores": (fact_scores, FACT_SCORES),
     "fact_labels": (fact_labels, FACT_LABELS), "hallucination_bounds": (hallucination_bounds, HALLUCINATION_BOUNDS), "fact_recall": (fact_recall, FACT_RECALL), "answer_kinds": (answer_kinds, ANSWER_KINDS),
     "demo_retrieval": (demo_retrieval, DEMO_RETRIEVAL), "event_votes": (event_votes, EVENT_VOTES), "span_texts": (span_texts, SPAN_TEXTS), "sampled_questions": (sampled_questions, SAMPLED_QUESTIONS),
-    "longest_story": (longest_story, LONGEST_STORY), "id_sets": (id_sets, ID_SETS), "embedding_neighbours": (embedding_neighbours, EMBEDDING_NEIGHBOURS),
+    "longest_story": (longest_story, LONGEST_STORY), "id_sets": (id_sets, ID_SETS), "embedding_neighbours": (embedding_neighbours, EMBEDDING_NEIGHBOURS), "token_matching": (token_matching, TOKEN_MATCHING),
     "perplexity_windows": (perplexity_windows, PERPLEXITY_WINDOWS), "label_agreement": (language_agreement, LANGUAGE_AGREEMENT),
 }
