@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import materialize, ship_package
 
 HEIGHT = 8
-WIDTH = 1 << HEIGHT
 DIGEST = 64  # bytes, as lowercase hex
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -58,18 +57,18 @@ def addresses(height: int) -> tuple[np.ndarray, ...]:
     return addresses(upper) + tuple((roots[:, None] + part[None, :]).reshape(-1) for part in below)
 
 
-def levels_above(n: int, alone: bool) -> int:
+def levels_above(n: int, alone: bool, height: int = HEIGHT) -> int:
     """How often the leaves of a block are hashed: until one is left, and a block among others up to its full height."""
-    return max(0, (n - 1).bit_length()) if alone else HEIGHT
+    return max(0, (n - 1).bit_length()) if alone else height
 
 
 def parent(*nodes: bytes) -> bytes:
     return hashlib.sha256(b"".join(nodes)).hexdigest().encode()
 
 
-def build_block(leaves: list[bytes], alone: bool) -> bytes:
+def build_block(leaves: list[bytes], alone: bool, full: int = HEIGHT) -> bytes:
     """The stored nodes of a block over these leaves; places of nodes that do not exist stay zero."""
-    height = levels_above(len(leaves), alone)
+    height = levels_above(len(leaves), alone, full)
     place = addresses(height + 1)
     out = bytearray(DIGEST * ((1 << (height + 1)) - 1))
     nodes = leaves
@@ -130,17 +129,17 @@ def _numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return found.select(*[c for c in rows.columns], "tree", (F.col("shift") + F.col("row") - F.col("tree")).alias("pos"), "total")
 
 
-def _blocks(nodes: DataFrame, keep: list[str]) -> DataFrame:
+def _blocks(nodes: DataFrame, keep: list[str], height: int) -> DataFrame:
     """Blocks over (tree, pos, total, digest): tree, block, total, entries (in order), nodes, root; written."""
     entry = F.struct("pos", "digest", *keep)
-    rows = nodes.groupBy("tree", F.shiftright("pos", HEIGHT).alias("block")).agg(F.first("total").alias("total"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    rows = nodes.groupBy("tree", F.shiftright("pos", height).alias("block")).agg(F.first("total").alias("total"), F.array_sort(F.collect_list(entry)).alias("entries"))
     leaves = F.transform("entries", lambda e: e.digest)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             stored, roots = [], []
             for own, total in zip(b.column("leaves").to_pylist(), b.column("total").to_pylist(), strict=True):
-                block = build_block([d.encode() for d in own], total <= WIDTH)
+                block = build_block([d.encode() for d in own], total <= 1 << height, height)
                 stored.append(block)
                 roots.append(block[:DIGEST].decode())  # a root lies first in any layout
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("tree", "block", "total", "entries")], pa.array(stored, pa.binary()), pa.array(roots, pa.string())], names=["tree", "block", "total", "entries", "nodes", "root"])
@@ -149,18 +148,18 @@ def _blocks(nodes: DataFrame, keep: list[str]) -> DataFrame:
     return materialize(rows.withColumn("leaves", leaves).mapInArrow(build, f"tree long, block long, total long, entries {kind}, nodes binary, root string"))
 
 
-def _forest(nodes: DataFrame, keep: list[str]) -> tuple[list[DataFrame], DataFrame]:
+def _forest(nodes: DataFrame, keep: list[str], height: int) -> tuple[list[DataFrame], DataFrame]:
     """All levels of blocks from the leaves upwards, and (tree, root)."""
-    levels, roots = [_blocks(nodes, keep)], None
+    levels, roots, width = [_blocks(nodes, keep, height)], None, 1 << height
     while True:
         top = levels[-1]
-        done = top.where(F.col("total") <= WIDTH).select("tree", "root")
+        done = top.where(F.col("total") <= width).select("tree", "root")
         roots = done if roots is None else roots.unionByName(done)
-        rest = top.where(F.col("total") > WIDTH)
+        rest = top.where(F.col("total") > width)
         if rest.isEmpty():
             return levels, roots
-        up = rest.select("tree", F.col("block").alias("pos"), F.shiftright(F.col("total") + (WIDTH - 1), HEIGHT).alias("total"), F.col("root").alias("digest"))
-        levels.append(_blocks(up, []))
+        up = rest.select("tree", F.col("block").alias("pos"), F.shiftright(F.col("total") + (width - 1), height).alias("total"), F.col("root").alias("digest"))
+        levels.append(_blocks(up, [], height))
 
 
 def _paths(blocks: DataFrame, keep: list[str]) -> DataFrame:
@@ -180,39 +179,39 @@ def _paths(blocks: DataFrame, keep: list[str]) -> DataFrame:
     return blocks.select("tree", "entries", "nodes", "path").mapInArrow(run, ", ".join(["tree long, path array<string>, pos long, digest string", *[f"`{c}` {kinds[c]}" for c in keep]]))
 
 
-def _opened(levels: list[DataFrame], top: DataFrame, keep: list[str]) -> DataFrame:
+def _opened(levels: list[DataFrame], top: DataFrame, keep: list[str], height: int) -> DataFrame:
     """The paths of all leaves; ``top``: (tree, path) of the trees' roots."""
-    above, found = None, None
+    above, found, width = None, None, 1 << height
     for k in range(len(levels) - 1, -1, -1):
         blocks = levels[k]
         if above is not None:
-            inner = blocks.where(F.col("total") > WIDTH).join(above.select("tree", F.col("pos").alias("block"), "path"), ["tree", "block"])
-        roots = blocks.where(F.col("total") <= WIDTH).join(top, "tree")
+            inner = blocks.where(F.col("total") > width).join(above.select("tree", F.col("pos").alias("block"), "path"), ["tree", "block"])
+        roots = blocks.where(F.col("total") <= width).join(top, "tree")
         with_path = roots if above is None else roots.unionByName(inner.select(roots.columns))
         found = _paths(with_path, keep if k == 0 else [])
         above = materialize(found) if k else None
     return found
 
 
-def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", group_col: str = "lang", keep: tuple[str, ...] = (), height: int = HEIGHT) -> DataFrame:
     """id, leaf, subroot, root and path (the steps from the leaf to the root), and the narrow columns ``keep``.
 
-    ``folded(leaf, path)`` is the root for every row that is what it was when the manifest was made.
+    ``folded(leaf, path)`` is the root for every row that is what it was when the manifest was made. ``height``: of blocks.
     """
     ship_package(docs.sparkSession)
     kept = [f"kept_{k}" for k in range(len(keep))]
     col = lambda c: F.col(f"`{c}`")
     rows = materialize(docs.select(col(id_col).alias("id"), col(group_col).alias("grp"), leaf(*[col(c) for c in fields]).alias("digest"), *[col(c).alias(k) for c, k in zip(keep, kept, strict=True)]))
     numbered = _numbered(rows, "grp", ["id", "digest"])
-    levels, subroots = _forest(numbered, ["id", *kept])
+    levels, subroots = _forest(numbered, ["id", *kept], height)
     subroots = materialize(subroots)
     above = _numbered(materialize(subroots.select(F.lit(0).alias("grp"), F.col("tree").alias("of"), F.col("root").alias("digest"))), "grp", ["of"])
-    top_levels, roots = _forest(above, ["of"])
+    top_levels, roots = _forest(above, ["of"], height)
     nothing = F.array().cast("array<string>")
-    top = _opened(top_levels, roots.select("tree", nothing.alias("path")), ["of"])
+    top = _opened(top_levels, roots.select("tree", nothing.alias("path")), ["of"], height)
     root = roots.select(F.col("root"))
     top = materialize(top.crossJoin(F.broadcast(root)).select(F.col("of").alias("tree"), "path", F.col("digest").alias("subroot"), "root"))  # one row: the root
-    found = _opened(levels, top.select("tree", "path"), ["id", *kept])
+    found = _opened(levels, top.select("tree", "path"), ["id", *kept], height)
     found = found.join(top.select("tree", "subroot", "root"), "tree")
     return found.select(F.col("id").alias(id_col), F.col("digest").alias("leaf"), "subroot", "root", "path", *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)])
 
@@ -225,9 +224,9 @@ def tampered(docs: DataFrame) -> DataFrame:
     return docs.select(*FIELDS, leaf(*[n_chars if c == "n_chars" else F.col(c) for c in FIELDS]).alias("tampered_leaf"))
 
 
-def verification(docs: DataFrame) -> DataFrame:
+def verification(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """The manifest's digests, and what ``tampered`` rows fold to."""
-    found = manifest(tampered(docs), keep=("tampered_leaf",))
+    found = manifest(tampered(docs), keep=("tampered_leaf",), height=height)
     again = folded(F.col("tampered_leaf"), F.col("path"))
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"), again.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
