@@ -6,12 +6,16 @@ verified links: a few bands go first, and of the others only buckets whose class
 are compared.
 
 A bucket of up to ``block`` classes is one block, in which all pairs meet. A larger one is first dealt into blocks by
-a hash of class and bucket, another deal in each band, so that a large group of copies is joined by few rows; if the
-bucket is still of several components, every two of its blocks that differ in component meet as well.
+a hash of class and bucket, another deal in each band, so that a large group of copies is joined by few rows. If a bucket
+is still of several components, its classes get further bands, of more hashes each (``FURTHER``), and meet where they share
+one of those: rows are a constant factor of the classes, and a pair at the threshold (0.8) is missed by one step with a
+probability of less than 0.001. What is of several components and larger than a block after all of them, classes that are
+alike in most of their shingles and yet not linked, meets block by block, every two that differ in component.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -21,11 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import connected_components, materialize, maybe_broadcast
+from palimpsest.llm.common import connected_components, materialize, maybe_broadcast, ship_package
 from palimpsest.llm.simhash import SEED, Forest
 
 BLOCK = 128
 FIRST_BANDS = 6
+#: Hashes a band of the steps that split large buckets.
+FURTHER = (6, 10, 16)
+STEP_RECALL = 0.999
 
 
 def tune(similarity: float, hashes: int, recall: float) -> tuple[int, int]:
@@ -43,9 +50,9 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64))
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+def signatures(sets: list[np.ndarray], bands: int, rows: int, seed: int = 5) -> np.ndarray:
     """A hash per set and band."""
-    rng = np.random.default_rng(5)
+    rng = np.random.default_rng(seed)
     a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
     out = np.empty((len(sets), bands), np.uint64)
@@ -155,14 +162,44 @@ def similar_components(banded: DataFrame, sets_of: Callable[[DataFrame], DataFra
     buckets = materialize(banded.join(maybe_broadcast(sizes, 40), "bucket"))
     sets = materialize(sets_of(materialize(buckets.select("key").distinct())))
     found, labels = None, None
-    rounds = [
-        (lambda b: b.where(F.col("band") < FIRST_BANDS), dealt),
-        (lambda b: b.where(F.col("band") >= FIRST_BANDS), dealt),
-        (lambda b: b.where(F.col("n") > block), crossed),
-    ]
-    for some, laid in rounds:
-        new = verified(laid(labelled(some(buckets), labels), block), sets, similarity)
+
+    def linked(blocks: DataFrame) -> None:
+        nonlocal found, labels
+        new = verified(blocks, sets, similarity)
         if labels is None or not new.isEmpty():
             found = new if found is None else found.unionByName(new)
             labels = connected_components(found)
+
+    for some in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
+        linked(dealt(labelled(buckets.where(some), labels), block))
+    large = buckets.where(F.col("n") > block)
+    for per_band in FURTHER:
+        left = materialize(labelled(large, labels).select("key").distinct())
+        if left.isEmpty():
+            return labels
+        split = further(left, sets, similarity, per_band)
+        linked(dealt(labelled(split, labels), block))
+        large = split.where(F.col("n") > block)
+    left = materialize(labelled(large, labels))
+    if not left.isEmpty():
+        linked(crossed(left, block))
     return labels
+
+
+def further(keys: DataFrame, sets: DataFrame, similarity: float, per_band: int) -> DataFrame:
+    """(bucket, n, key) of the classes that share one of as many bands of ``per_band`` hashes as a step's recall takes."""
+    bands = math.ceil(math.log1p(-STEP_RECALL) / math.log1p(-(similarity**per_band)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                own = [s.values.to_numpy().view(np.uint64) for s in part.column(1)]
+                sig = signatures(own, bands, per_band, 100 + per_band).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(sig), pa.list_(pa.int64()))], names=["key", "sig"])
+
+    ship_package(keys.sparkSession)
+    signed = keys.join(sets.where("size(sh) > 0"), "key").select("key", "sh").mapInArrow(run, "key long, sig array<long>")
+    banded = materialize(signed.select("key", F.posexplode("sig").alias("band", "hash")).select(F.xxhash64("band", "hash", F.lit(per_band)).alias("bucket"), "key"))
+    sizes = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return materialize(banded.join(maybe_broadcast(sizes, 40), "bucket").select("bucket", "n", "key"))
