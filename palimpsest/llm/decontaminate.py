@@ -4,17 +4,21 @@ Documents are partitioned by size class (powers of two of their shingle count).
 gets a one-permutation MinHash signature: the hash range is cut into bins in proportion to the class size and
 the least shingle hash of each bin is kept. A short item shares a bin minimum with a long document that holds
 it with a chance that depends on bins per shingle alone, and that ratio is tuned so that a pair at the
-containment threshold is missed less than once in a million. Pairs that share a minimum are candidates; each is
-then verified by exact containment of word shingles. Everything is built-in DataFrame functions.
+containment threshold is missed less than once in a million. Items that have fewer than ``LOOKED_UP`` shingles to
+share at the threshold are too short for that: all shingles of all documents are looked up among theirs, and no
+pair is missed. Pairs that share a hash are candidates; each is then verified by exact containment of word
+shingles. Everything is built-in DataFrame functions.
 
 Defined cases: words are runs of letters and digits of the lower-cased text; a text of fewer words than a
 shingle has one shingle, all its words; null or wordless texts (of either side) have none and match nothing;
 rows whose doc_id is null are not reported and stay; where a doc_id or item_id repeats, the best pair counts in
-:func:`contaminated`, and :func:`drop_contaminated` judges each row by its own text.
+:func:`contaminated`, and :func:`drop_contaminated` judges each row by its own text. An empty table of either
+side gives no pairs; other columns, whatever their names, are not read, and stay in the stage.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +29,8 @@ from palimpsest.llm.common import BROADCAST_BYTES, materialize, row_key, without
 WORDS = 5
 CONTAINMENT = 0.8
 MISS = 1e-6
+#: Shared shingles below which minima would be missed too often.
+LOOKED_UP = 8
 
 
 def words_of(text: Column) -> Column:
@@ -72,17 +78,23 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         items.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text_col)).alias("w")).where("size(w) > 0 and item_id is not null")
         .select("item_id", F.array_distinct(shingle_texts(F.col("w"), n)).alias("shingles"), F.array_distinct(shingle_hashes(F.col("w"), n)).alias("hashes"))
     )
-    sizes = known.agg(F.min(F.size("shingles")), F.sum(F.size("shingles")), F.sum(F.length(F.array_join("shingles", "")))).first()
-    smallest, total, chars = sizes[0] or 1, sizes[1] or 0, sizes[2] or 0
+    due = F.ceil(F.lit(containment) * F.size("shingles"))
+    sizes = known.agg(F.min(F.when(due >= LOOKED_UP, F.size("shingles"))), F.sum(F.size("shingles")), F.sum(F.length(F.array_join("shingles", ""))), F.count_if(due < LOOKED_UP)).first()
+    smallest, total, chars, n_short = sizes[0], sizes[1] or 0, sizes[2] or 0, sizes[3]
     small = lambda df, size: F.broadcast(df) if size <= BROADCAST_BYTES else df
 
     hashed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")).select("doc_id", F.sort_array(shingle_hashes(F.col("w"), n)).alias("h"))
-    minima = hashed.select("doc_id", F.explode(signature(F.col("h"), bin_bits(F.size("h"), extra_bits(smallest, containment)))).alias("hash"))
-    wanted = small(known.select("item_id", F.explode("hashes").alias("hash")), 40 * total)
-    found = materialize(minima.join(wanted, "hash").select("doc_id", "item_id").distinct())
-
-    pairs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).join(small(found, 40 * found.count()), "doc_id")
-    texts = pairs.select("doc_id", "item_id", words_of(F.col("__text")).alias("w")).select("doc_id", "item_id", F.array_distinct(shingle_texts(F.col("w"), n)).alias("own"))
+    met = []
+    if smallest:
+        minima = hashed.select("doc_id", F.explode(signature(F.col("h"), bin_bits(F.size("h"), extra_bits(smallest, containment)))).alias("hash"))
+        met.append(minima.join(small(known.where(due >= LOOKED_UP).select("item_id", F.explode("hashes").alias("hash")), 40 * total), "hash"))
+    if n_short or not met:
+        every = hashed.select("doc_id", F.explode("h").alias("hash"))
+        met.append(every.join(small(known.where(due < LOOKED_UP).select("item_id", F.explode("hashes").alias("hash")), 40 * total), "hash"))
+    found = materialize(functools.reduce(DataFrame.unionByName, [m.select("doc_id", "item_id") for m in met]).distinct())
+
+    pairs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small(found, 40 * found.count()), "doc_id")
+    texts = pairs.select("doc_id", "item_id", words_of(F.col("text")).alias("w")).select("doc_id", "item_id", F.array_distinct(shingle_texts(F.col("w"), n)).alias("own"))
     both = texts.join(small(known.select("item_id", "shingles"), 2 * chars + 40 * total), "item_id")
     counted = both.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_item"), F.size(F.array_intersect("shingles", "own")).cast("long").alias("n_shared"))
     judged = counted.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= containment)
@@ -92,10 +104,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns."""
-    rows = docs.withColumn("__row", row_key(id_col, text_col))
-    both = F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    bad = contaminated(rows.where(F.col(id_col).isNotNull()).withColumn("__key", both), items, id_col="__key", text_col=text_col, **params)
-    return without_rows(docs, bad.select("__key.*"), id_col, text_col)
+    own = docs.select(F.struct(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row")).alias("key"), F.col(text_col).alias("text"))
+    bad = contaminated(own.where("key.id is not null"), items, id_col="key", text_col="text", **params)
+    return without_rows(docs, bad.select("key.*"), id_col, text_col)
 
 
 def oracle_sql(n: int = WORDS, containment: float = CONTAINMENT) -> str:
