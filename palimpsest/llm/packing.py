@@ -9,7 +9,9 @@ that holds its contents. Only lengths and ids are shuffled; what a shard leaves
 few bins, so the loss does not grow with the number of shards' rows.
 
 Defined cases: null or empty texts have length 0 and take no room (they are returned without a bin, in the
-stage as well); ties go to the smaller id; repeated rows are packed as often as they occur.
+stage as well); ties go to the smaller id; repeated rows are packed as often as they occur, and are dealt to shards by a number of their own,
+so that copies do not meet in one; null ids are ids like others; an empty table gives an empty result; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize
+from palimpsest.llm.common import materialize, ship_package
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Tokens' worth of cost that a sequence has whatever its length.
@@ -67,18 +69,19 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
     ``size``: the length of a document (by default its words); ``start``: where the piece begins in it.
     """
+    ship_package(docs.sparkSession)
     lengths = tuple(sorted(lengths))
     longest = lengths[-1]
-    sized = materialize(docs.select(F.col(id_col).alias("id"), (word_count(F.col(text_col)) if size is None else size).cast("long").alias("n")))
+    sized = materialize(docs.select(F.col(id_col).alias("id"), (word_count(F.col(text_col)) if size is None else size).cast("long").alias("n"), F.monotonically_increasing_id().alias("row")))
     n = F.coalesce("n", F.lit(0).cast("long"))
-    pieces = sized.select("id", n.alias("n")).select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / longest) - 1, F.lit(0).cast("long")))).alias("piece"))
-    pieces = pieces.select("id", "piece", (F.col("piece") * longest).alias("start"), F.least(F.col("n") - F.col("piece") * longest, F.lit(longest)).alias("n_tokens"))
+    pieces = sized.select("id", "row", n.alias("n")).select("id", "row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / longest) - 1, F.lit(0).cast("long")))).alias("piece"))
+    pieces = pieces.select("id", "row", "piece", (F.col("piece") * longest).alias("start"), F.least(F.col("n") - F.col("piece") * longest, F.lit(longest)).alias("n_tokens"))
     total = sized.agg(F.sum(F.greatest(F.ceil(n / longest), F.lit(1).cast("long")))).first()[0] or 0
     shards = max(1, -(-total // shard_rows))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "n_tokens"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], kind="stable")
+        shard = shard.sort_values(["n_tokens", "id", "piece", "row"], ascending=[False, True, True, True], kind="stable").drop(columns="row")
         some = shard["n_tokens"].to_numpy() > 0
         b, o, f = pack(shard["n_tokens"].to_numpy()[some], lengths, overhead)
         for name, values in (("bin", b), ("bin_offset", o), ("bin_length", f)):
