@@ -68,14 +68,16 @@ def steps_removed(spark: SparkSession) -> Iterator[None]:
 
 def row_key(id_col: str, text_col: str) -> Column:
     """Tells rows of one id apart: a hash of id and text."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` without the rows (id, row) of ``gone``, with its columns; rows whose id is null stay."""
-    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct())
-    same = (F.col(id_col) == F.col("__id")) & (row_key(id_col, text_col) == F.col("__row"))
-    return docs.join(maybe_broadcast(gone, 64), same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = materialize(gone.select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")).distinct())
+    # Rows are packed, so that none of their columns can clash with these.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text_col).alias("own_row"))
+    same = (F.col("doc")[id_col] == F.col("gone_id")) & (F.col("own_row") == F.col("gone_row"))
+    return packed.join(maybe_broadcast(gone, 64), same, "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def materialize(df: DataFrame) -> DataFrame:

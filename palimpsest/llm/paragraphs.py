@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BROADCAST_BYTES, materialize, maybe_broadcast, row_key
+from palimpsest.llm.common import BROADCAST_BYTES, materialize, maybe_broadcast, row_key, ship_package
 from palimpsest.llm.links import shingles, signatures, similar_components, tune
 from palimpsest.llm.simhash import SEED
 
@@ -116,6 +116,7 @@ def near_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, min_words: int, words: int, similarity: float) -> DataFrame:
+    ship_package(docs.sparkSession)
     bands, rows = tune(similarity, HASHES, RECALL)
     every = materialize(paragraph_rows(docs, id_col, text_col, min_words, words, bands, rows))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "paragraph", "piece")
@@ -152,10 +153,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.Series([t if g is None else _without(t, {(x["paragraph"], x["piece"]) for x in g}) for t, g in zip(texts, gone, strict=True)])
 
     gone = _judged(docs, id_col, text_col, min_words, words, similarity).where(F.col("removed") & F.col(id_col).isNotNull())
-    gone = gone.groupBy(F.col(id_col).alias("__id"), F.col("row").alias("__row")).agg(F.collect_set(F.struct("paragraph", "piece")).alias("__gone"))
-    same = (F.col(id_col) == F.col("__id")) & (row_key(id_col, text_col) == F.col("__row"))
-    names = [F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), "__gone")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(gone, same, "left").select(*names)
+    gone = gone.groupBy(F.col(id_col).alias("gone_id"), F.col("row").alias("gone_row")).agg(F.collect_set(F.struct("paragraph", "piece")).alias("gone"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text_col).alias("own_row"))
+    same = (F.col("doc")[id_col] == F.col("gone_id")) & (F.col("own_row") == F.col("gone_row"))
+    text = F.when(F.col("gone").isNull(), F.col("doc")[text_col]).otherwise(cut(F.col("doc")[text_col], "gone"))
+    return packed.join(gone, same, "left").select(*[(text if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def _without(text: str | None, gone: set[tuple[int, int]]) -> str | None:
