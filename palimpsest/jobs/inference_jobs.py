@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import labels, text
 from palimpsest.jobs import stats_jobs
 from palimpsest.operators import aggregates, bootstrap, ranks
-from palimpsest.operators.distributions import binomial_greater, finished, fisher_exact, normal_tail
+from palimpsest.operators.distributions import binomial_greater, chi2_tail, finished, fisher_exact, normal_tail
 from palimpsest.sources.adapters import CHAINS_SQL, SCORES_SQL, chains, metric_rows, metrics_sql, scores, table
 
 STEPS = [0, 1, 2, 3]
@@ -35,24 +35,26 @@ SELECT instruction_type, k AS n_below, n, m AS n_all, CASE WHEN k = 0 THEN 1.0 E
 
 
 def rare_event_test(spark, sf_dir):
-    """Whether more than five percent of the values of an instruction are above 60, by an exact binomial test (SA27)."""
-    c = metric_rows(spark, sf_dir).where("event_id % 10 = 0 or cents > 6000").groupBy("instruction_type").agg(F.count_if(F.col("cents") > 9500).alias("k"), F.count(F.lit(1)).alias("n"))
+    """Whether more than five percent of the values of an instruction are above 95, by an exact binomial test (SA27)."""
+    c = metric_rows(spark, sf_dir).groupBy("instruction_type").agg(F.count_if(F.col("cents") > 9500).alias("k"), F.count(F.lit(1)).alias("n"))
     return finished(c, "instruction_type string, k long, n long", p=lambda r: binomial_greater(r["k"], r["n"], 0.05)).withColumn("p", F.round("p", 6))
 
 
-RARE_EVENT_TEST = f"""WITH {metrics_sql(['qid'])}, c AS (SELECT instruction_type, count(*) FILTER (WHERE cents > 9500) AS k, count(*) AS n FROM mrows WHERE event_id % 10 = 0 OR cents > 6000 GROUP BY ALL)
+RARE_EVENT_TEST = f"""WITH {metrics_sql(['qid'])}, c AS (SELECT instruction_type, count(*) FILTER (WHERE cents > 9500) AS k, count(*) AS n FROM mrows GROUP BY ALL)
 SELECT instruction_type, k, n, CASE WHEN k = 0 THEN 1.0 ELSE {_upper('k', 'n', 0.05)} END AS p FROM c"""
 
 
 def uniform_fit(spark, sf_dir):
-    """chi2 of the counts of five instructions against a uniform split; with four degrees of freedom p has a closed form (SA28)."""
+    """chi2 of the counts of a hop's instructions against a uniform split, however many there are (SA28)."""
     c = metric_rows(spark, sf_dir).groupBy("n_hop", "instruction_type").agg(F.count(F.lit(1)).alias("o")).groupBy("n_hop").agg(F.sum("o").alias("n"), F.sum(F.col("o") * F.col("o")).alias("q"), F.count(F.lit(1)).alias("k"))
     x = F.col("q") * F.col("k") / F.col("n") - F.col("n")
-    return c.where("k = 5").select("n_hop", "n", F.round(x, 6).alias("chi2"), F.round(F.exp(-x / 2) * (1 + x / 2), 6).alias("p"))
+    found = c.select("n_hop", "n", x.alias("x"), (F.col("k") - 1).alias("df"))
+    out = finished(found, "n_hop int, n long, x double, df long", p=lambda r: chi2_tail(r["x"], int(r["df"])) if r["df"] else 1.0)
+    return out.select("n_hop", "n", F.round("x", 6).alias("chi2"), "df", F.round("p", 6).alias("p"))
 
 
-UNIFORM_FIT = f"""WITH {metrics_sql(['qid'])}, o AS (SELECT n_hop, instruction_type, count(*) AS o FROM mrows GROUP BY ALL), c AS (SELECT n_hop, CAST(sum(o) AS BIGINT) AS n, CAST(sum(o * o) AS DOUBLE) * count(*) / sum(o) - sum(o) AS x FROM o GROUP BY n_hop HAVING count(*) = 5)
-SELECT n_hop, n, round(x, 6) AS chi2, round(exp(-x / 2) * (1 + x / 2), 6) AS p FROM c"""
+UNIFORM_FIT = f"""WITH {metrics_sql(['qid'])}, o AS (SELECT n_hop, instruction_type, count(*) AS o FROM mrows GROUP BY ALL), c AS (SELECT n_hop, CAST(sum(o) AS BIGINT) AS n, CAST(sum(o * o) AS DOUBLE) * count(*) / sum(o) - sum(o) AS x, count(*) - 1 AS df FROM o GROUP BY n_hop)
+SELECT n_hop, n, round(x, 6) AS chi2, df, CASE WHEN df = 0 OR x <= 0 THEN 1.0 ELSE round(greatest(0.0, 1 - list_sum(list_transform(range(0, 600), lambda i: exp((df / 2.0 + i) * ln(x / 2) - x / 2 - lgamma(df / 2.0 + i + 1))))), 6) END AS p FROM c"""
 
 
 def fisher_tables(spark, sf_dir):

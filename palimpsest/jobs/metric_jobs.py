@@ -201,8 +201,10 @@ def answerability(spark, sf_dir):
     for step in (0, 1):
         own = _answerable(a, step).withColumn("answerable_at", F.lit(step))
         both = own if both is None else both.unionByName(own)
-    q = F.percentile("answer_f1", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return both.groupBy("answerable_at", "instruction_type", "step").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("answer_f1"), 9).alias("mean"), *[F.round(F.get(q, k), 9).alias(n) for k, n in enumerate(("q25", "median", "q75"))])
+    by = ["answerable_at", "instruction_type", "step"]
+    means = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("answer_f1"), 9).alias("mean"))
+    out = aggregates.with_quantiles(means, both, by, "answer_f1", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return out.withColumns({c: F.round(c, 9) for c in ("q25", "median", "q75")})
 
 
 ANSWERABILITY = f"""{_M}, x AS (SELECT *, 0 AS answerable_at FROM ({_SEMI.format(0)}) UNION ALL SELECT *, 1 FROM ({_SEMI.format(1)}))

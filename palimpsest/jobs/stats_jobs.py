@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.distributions import finished, sign_p
 from palimpsest.operators import aggregates, bootstrap, chains, mixed, ranks, regression, survival
 from palimpsest.sources.adapters import SCORES_SQL, scores, subject_means, subject_sql, table
 
@@ -32,9 +33,10 @@ SCORE_ROLLUP = f"WITH {SCORES_SQL} SELECT instruction_type, n_hop, round(avg(sco
 def score_pivot(spark, sf_dir):
     """Mean and median by instruction, a column per step (AG6, AG7)."""
     s = scores(spark, sf_dir)
-    mean = aggregates.wide(s, ["instruction_type"], "step", STEPS, F.round(F.avg("score"), 6))
-    med = aggregates.wide(s, ["instruction_type"], "step", STEPS, F.round(F.median("score"), 6)).withColumnsRenamed({f"s{k}": f"m{k}" for k in STEPS})
-    return mean.join(med, "instruction_type")
+    by = ["instruction_type", "step"]
+    cells = aggregates.with_quantiles(s.groupBy(*by).agg(F.round(F.avg("score"), 6).alias("mean")), s, by, "score", {"median": 0.5})
+    wide = cells.groupBy("instruction_type").pivot("step", STEPS).agg(F.first("mean").alias("mean"), F.round(F.first("median"), 6).alias("median"))
+    return wide.select("instruction_type", *[F.col(f"{k}_mean").alias(f"s{k}") for k in STEPS], *[F.col(f"{k}_median").alias(f"m{k}") for k in STEPS])
 
 
 SCORE_PIVOT = f"WITH {SCORES_SQL} SELECT instruction_type, {', '.join(f'round(avg(score) FILTER (WHERE step = {k}), 6) AS s{k}, round(median(score) FILTER (WHERE step = {k}), 6) AS m{k}' for k in STEPS)} FROM scores GROUP BY instruction_type"
@@ -149,12 +151,9 @@ def sign_tests(spark, sf_dir):
     """Signs of the change from the first to the last week per instruction and hop, per each, over all, with the exact p (SA22, SA24, SA25)."""
     w = aggregates.wide(scores(spark, sf_dir), ["qid", "instruction_type", "n_hop"], "step", [0, 3], F.first("score")).na.drop()
     c = ranks.sign_counts(w.withColumn("d", F.col("s3") - F.col("s0")), [["instruction_type", "n_hop"], ["instruction_type"], []], "d")
-    n, k = F.col("n_pos") + F.col("n_neg"), F.least("n_pos", "n_neg")
-    zero = F.struct((-n * F.ln(F.lit(2.0))).alias("log"), F.lit(0.0).alias("sum"))
-    step = lambda acc, i: F.struct((acc["log"] + F.ln((n - i) / (i + 1.0))).alias("log"), (acc["sum"] + F.exp(acc["log"])).alias("sum"))
-    below = F.aggregate(F.sequence(F.lit(0).cast("long"), k), zero, step, lambda acc: acc["sum"])
-    p = F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(n > k, below).otherwise(1.0)))
-    return c.select("instruction_type", "n_hop", "n_pos", "n_neg", "n_tie", "n_all", F.round(p, 6).alias("p"))
+    c = c.select("instruction_type", "n_hop", "n_pos", "n_neg", "n_tie", "n_all")
+    p = finished(c, "instruction_type string, n_hop int, n_pos long, n_neg long, n_tie long, n_all long", p=lambda r: sign_p(int(r["n_pos"]), int(r["n_neg"])))
+    return p.withColumn("p", F.round("p", 6))
 
 
 SIGN_TESTS = f"""WITH {SCORES_SQL}, w AS (SELECT qid, instruction_type, n_hop, max(score) FILTER (WHERE step = 0) AS s0, max(score) FILTER (WHERE step = 3) AS s3 FROM scores GROUP BY ALL),

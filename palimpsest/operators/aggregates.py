@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.order_statistics import quantiles
+
 
 def describe(df: DataFrame, keys: list[str], value: str, digits: int = 6) -> DataFrame:
     """mean, std, median, n, sem and the half-width of a 95 % interval (0 below two rows) per key."""
     n = F.count(F.lit(1))
-    stats = df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.median(value).alias("median"), F.count(value).alias("n"), n.alias("rows")
-    )
+    stats = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"), n.alias("rows"))
+    stats = with_quantiles(stats, df, keys, value, {"median": 0.5})
     sem = F.col("std") / F.sqrt("n")
     ci = F.when(F.col("rows") < 2, 0.0).otherwise(1.96 * F.col("std") / F.sqrt("rows"))
     return stats.select(*keys, *[F.round(c, digits).alias(c) for c in ("mean", "std", "median")], "n", F.round(sem, digits).alias("sem"), F.round(ci, digits).alias("ci95"))
 
 
+def with_quantiles(grouped: DataFrame, df: DataFrame, keys: list[str], value: str, named: dict[str, float]) -> DataFrame:
+    """``grouped`` (a row a group of ``df``) with exact quantiles of ``value``; NULL for a group without a value."""
+    q = quantiles(df, keys, value, list(named.values())).withColumnsRenamed({k: f"{k}_q" for k in keys})
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_q")) for k in keys])
+    return grouped.join(q, same, "left").withColumns({n: F.get("q", k) for k, n in enumerate(named)}).drop("q", *[f"{k}_q" for k in keys])
+
+
 def grouped_means(df: DataFrame, sets: list[list[str]], value: str, digits: int = 6) -> DataFrame:
     """Means and counts per group, per coarser group and over all, in one pass."""
     keys = sorted({k for s in sets for k in s})
@@ -31,9 +41,8 @@ def wide(df: DataFrame, keys: list[str], step: str, steps: list[int], value: Col
 
 def predictability(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, P90 and P90 - P10 by linear interpolation, to four digits."""
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.9)))
-    out = df.groupBy(*keys).agg(F.avg(value).alias("m"), p.alias("p"))
-    return out.select(*keys, F.round("m", 4).alias("performance"), F.round(F.get("p", 1), 4).alias("aptitude"), F.round(F.get("p", 1) - F.get("p", 0), 4).alias("unreliability"))
+    out = with_quantiles(df.groupBy(*keys).agg(F.avg(value).alias("m")), df, keys, value, {"low": 0.1, "high": 0.9})
+    return out.select(*keys, F.round("m", 4).alias("performance"), F.round("high", 4).alias("aptitude"), F.round(F.col("high") - F.col("low"), 4).alias("unreliability"))
 
 
 def degradation(df: DataFrame, keys: list[str], value: str, tolerance: float = 0.01) -> DataFrame:

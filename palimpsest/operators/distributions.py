@@ -38,7 +38,7 @@ def beta_inc(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d or 1e-300)
     out = d
-    for m in range(1, 500):
+    for m in range(1, 500_000):  # about the root of the larger parameter suffices
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / ((1 + num * d) or 1e-300)
             c = (1 + num / c) or 1e-300
@@ -55,11 +55,10 @@ def t_tail(t: float, df: float) -> float:
 
 
 def binomial_tail(k: int, n: int, p: float = 0.5) -> float:
-    """P(X >= k), summed in log space."""
-    if k <= 0:
-        return 1.0
-    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(log(i)) for i in range(k, n + 1)))
+    """P(X >= k), by the incomplete beta function."""
+    if k <= 0 or k > n:
+        return float(k <= 0)
+    return beta_inc(k, n - k + 1, p)
 
 
 def sign_p(positive: int, negative: int) -> float:

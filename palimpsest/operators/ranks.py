@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def average_rank(order: Column, keys: list) -> Column:
-    """Rank within a partition, ties sharing the mean of theirs."""
-    within = Window.partitionBy(*keys)
-    return F.rank().over(within.orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, order)) - 1) / 2.0
+from palimpsest.operators.order_statistics import beside, cumulative, value_ranks
 
 
 def friedman(wide: DataFrame, steps: list[int], keys: list[str] | None = None) -> DataFrame:
@@ -39,13 +35,12 @@ def wilcoxon(pairs: DataFrame, keys: list[str], diff: str, zeros: str = "wilcox"
     d = pairs.where(F.col(diff).isNotNull()).withColumn("_d", F.col(diff))
     if zeros == "wilcox":
         d = d.where("_d <> 0")
-    ranked = d.withColumn("_a", F.abs("_d")).withColumn("_r", average_rank(F.col("_a"), keys))
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_a"))
-    ranked = ranked.withColumn("_t", tied * tied - 1)
-    half = F.when(F.col("_d") == 0, F.col("_r") / 2).otherwise(0.0)
+    by_size = d.groupBy(*keys, F.abs("_d").alias("_a")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("_d") > 0).alias("_p"), F.count_if(F.col("_d") < 0).alias("_m"))
+    ranked = cumulative(by_size, keys, "_a").withColumn("_r", F.col("below") + (F.col("c") + 1) / 2.0)
+    half = F.when(F.col("_a") == 0, F.col("c") * F.col("_r") / 2).otherwise(0.0)
     sums = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(half)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(half)).alias("w_minus"),
-        F.sum("_t").alias("ties"), F.count_if(F.col("_d") == 0).alias("n0"),
+        F.sum("c").alias("n"), F.sum(F.col("_p") * F.col("_r") + half).alias("w_plus"), F.sum(F.col("_m") * F.col("_r") + half).alias("w_minus"),
+        F.sum(F.col("c") * (F.col("c") * F.col("c") - 1)).alias("ties"), F.coalesce(F.sum(F.when(F.col("_a") == 0, F.col("c"))), F.lit(0)).alias("n0"),
     )
     n = F.col("n")
     n0 = F.col("n0")
@@ -78,7 +73,9 @@ def sign_counts(df: DataFrame, sets: list[list[str]], diff: str) -> DataFrame:
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 5) -> DataFrame:
     """Pearson and Spearman correlation per key; NULL below ``least`` rows."""
     some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = some.withColumns({"_x": average_rank(F.col(x), keys), "_y": average_rank(F.col(y), keys)})
+    ranked = some
+    for name, column in (("_x", x), ("_y", y)):
+        ranked = beside(ranked, value_ranks(some, keys, column).select(*keys, column, F.col("rank").alias(name)), [*keys, column])
     out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("p"), F.corr("_x", "_y").alias("s"))
     return out.select(*keys, "n", F.when(F.col("n") >= least, F.round("p", 6)).alias("pearson"), F.when(F.col("n") >= least, F.round("s", 6)).alias("spearman"))
 

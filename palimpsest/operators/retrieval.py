@@ -1,27 +1,68 @@
-"""BM25 retrieval by a join over postings."""
+"""BM25 retrieval over an inverted index, with the queries' common tokens left aside until few texts are left.
+
+Tokens of a query are counted, and each has a greatest weight in the index. The texts in which the query's most telling
+tokens weigh most are scored first; their best score is a bound. The tokens with the least to give, as many as cannot
+reach the bound together, do not propose texts: only the postings of the others, mostly rare tokens with short lists, are
+joined. Of the texts they propose those that cannot reach the bound even with all the rest drop out, and the few left are
+scored in full. Nothing that could be among the best is lost.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sums of weights differ in their last digits with their order.
+SLACK = 1e-5
 
-def bm25_top(queries: DataFrame, demos: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, top: int = 1) -> DataFrame:
-    """(qid, text) x (did, text) -> qid, did, score of the best demos. Tokens are what single spaces part.
 
-    A negative idf is replaced by ``floor`` times the mean idf. Demos that share no token score 0 and can't be first
-    unless none shares one; such queries get no row.
-    """
+def index(demos: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """(token, did, w) of (did, text): the weight of a token in a text. Tokens are what single spaces part; a negative idf
+    is replaced by ``floor`` times the mean idf."""
     tokens = demos.select("did", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("token"))
     tf = tokens.groupBy("did", "token").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.withColumn("dl", F.sum("tf").over(Window.partitionBy("did"))).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
-    size = tokens.agg(F.count_distinct("did").alias("n_docs"), (F.count(F.lit(1)) / F.count_distinct("did")).alias("avgdl"))
-    idf = tf.select("token", "df").distinct().join(F.broadcast(size), F.lit(True)).select("token", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
+    length = tf.groupBy("did").agg(F.sum("tf").alias("dl"))
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    size = length.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    idf = df.join(F.broadcast(size), F.lit(True)).select("token", "avgdl", (F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.join(F.broadcast(mean), F.lit(True)).select("token", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    idf = idf.join(F.broadcast(mean), F.lit(True)).select("token", "avgdl", F.when(F.col("idf") < 0, floor * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    postings = tf.join(idf, "token").join(F.broadcast(size), F.lit(True)).select("token", "did", weight.alias("w"))
-    asked = queries.select("qid", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("times"))
-    scored = asked.join(postings, "token").groupBy("qid", "did").agg(F.round(F.sum(F.col("times") * F.col("w")), 6).alias("score"))
+    return tf.join(length, "did").join(idf, "token").select("token", "did", weight.alias("w"))
+
+
+def asked_tokens(queries: DataFrame) -> DataFrame:
+    """(qid, token, times) of (qid, text)."""
+    return queries.select("qid", F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("token")).groupBy("qid", "token").agg(F.count(F.lit(1)).alias("times"))
+
+
+def scored(pairs: DataFrame, asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(qid, did, score) of given (qid, did)."""
+    return pairs.join(asked, "qid").join(postings, ["token", "did"]).groupBy("qid", "did").agg(F.sum(F.col("times") * F.col("w")).alias("score"))
+
+
+def proposed(asked: DataFrame, postings: DataFrame, top: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The postings joined for the queries, (qid, did, part), and of their texts those that may be among the ``top`` best."""
+    peak = postings.groupBy("token").agg(F.max("w").alias("peak"), F.max_by("did", F.struct("w", "did")).alias("champion"))
+    known = asked.join(peak, "token").withColumn("most", F.greatest(F.lit(0.0), F.col("times") * F.col("peak")))
+    telling = Window.partitionBy("qid").orderBy(F.desc("most"), "token")
+    champions = known.withColumn("nth", F.row_number().over(telling)).where(F.col("nth") <= 2 * top).select("qid", F.col("champion").alias("did")).distinct()
+    ranked = scored(champions, asked, postings).withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"))))
+    bound = ranked.where(F.col("nth") == top).select("qid", F.col("score").alias("bound"))
+    known = known.join(bound, "qid", "left")
+    upto = F.sum("most").over(Window.partitionBy("qid").orderBy("most", "token"))
+    known = known.withColumn("least", F.col("bound").isNotNull() & (upto < F.col("bound") - SLACK))
+    rest = known.groupBy("qid").agg(F.sum(F.when(F.col("least"), F.col("most")).otherwise(0.0)).alias("rest"), F.first("bound").alias("bound"))
+    joined = known.where("not least").select("qid", "token", "times").join(postings, "token").select("qid", "did", (F.col("times") * F.col("w")).alias("part"))
+    sums = joined.groupBy("qid", "did").agg(F.sum("part").alias("part")).join(rest, "qid")
+    return joined, sums.where(F.col("bound").isNull() | (F.col("part") + F.col("rest") >= F.col("bound") - SLACK)).select("qid", "did")
+
+
+def bm25_top(queries: DataFrame, demos: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, top: int = 1) -> DataFrame:
+    """(qid, text) x (did, text) -> qid, did, score, rank of the best demos; the smaller did on ties. Demos that share no
+    token score 0 and can't be first unless none shares one; such queries get no row."""
+    postings, asked = index(demos, k1, b, floor), asked_tokens(queries)
+    _, left = proposed(asked, postings, top)
+    found = scored(left, asked, postings).withColumn("score", F.round("score", 6))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
