@@ -91,6 +91,28 @@ def votes(cell: Column) -> Column:
     return F.array_sort(F.transform(entries, lambda e: F.struct((-e["value"]).alias("neg"), e["key"].alias("span"))))
 
 
+#: Keys of a cell of votes that are no spans: no answer, and a question that makes no sense.
+NO_ANSWER, BAD_QUESTION = "none", "badQuestion"
+
+
+def parsed_votes(cell: Column, story: Column) -> Column:
+    """JSON object of span -> votes as answers (votes, answer; most votes first, then as they stand in the cell), n_none
+    and n_bad. Spans that can't be read are left out; a null or malformed cell has no answers and no votes."""
+    entries = F.coalesce(F.map_entries(F.from_json(cell, "map<string,int>")), F.array().cast("array<struct<key:string,value:int>>"))
+    given = lambda key: F.coalesce(F.get(F.transform(F.filter(entries, lambda e: e["key"] == key), lambda e: e["value"]), 0), F.lit(0))
+    spans = F.filter(entries, lambda e: ~e["key"].isin(NO_ANSWER, BAD_QUESTION))
+    read = F.transform(spans, lambda e, i: F.struct((-e["value"]).alias("neg"), i.alias("at"), decode_spans(e["key"], story).alias("answer")))
+    answers = F.transform(F.array_sort(F.filter(read, lambda r: r["answer"].isNotNull())), lambda r: F.struct((-r["neg"]).alias("votes"), r["answer"].alias("answer")))
+    return F.struct(answers.alias("answers"), given(NO_ANSWER).alias("n_none"), given(BAD_QUESTION).alias("n_bad"))
+
+
+def agreed_answers(votes: Column, least: int = 2) -> Column:
+    """Answers of ``parsed_votes`` that at least two gave, if the first of them beats both kinds of refusal; else NULL."""
+    agreed = F.filter(votes["answers"], lambda a: a["votes"] >= least)
+    first = F.get(F.transform(agreed, lambda a: a["votes"]), 0)
+    return F.when(first > F.greatest(votes["n_none"], votes["n_bad"]), agreed)
+
+
 def atomic_facts(block: Column) -> Column:
     """Facts of the first run of ``- `` lines, each ended with a full stop unless it ends in punctuation."""
     start = F.struct(F.array().cast("array<string>").alias("facts"), F.lit(False).alias("done"))

@@ -18,6 +18,30 @@ def fact_score(details: DataFrame, keys: list[str], gamma: float = 10.0, penalty
     return c.select(*keys, "n_facts", "n_supported", (F.col("n_facts") - F.col("n_supported") - F.col("n_contradicted")).alias("n_not_supported"), "n_contradicted", F.round(init, 6).alias("init_score"), F.round(init * factor, 6).alias("factscore"))
 
 
+def recall_score(labelled: DataFrame, originals: DataFrame, key: str, keys: list[str], gamma: float = 10.0, yes: str = "SURVIVED") -> DataFrame:
+    """Share of the original's facts recalled, and that share times min(1, original facts / gamma), per key.
+
+    ``originals``: (key, fact), whose number makes the penalty; an original without facts has NULL scores.
+    """
+    n = originals.groupBy(key).agg(F.count("fact").alias("n_facts"))
+    hits = labelled.groupBy(*keys).agg(F.count_if(F.col("label") == yes).alias("n_recalled"))
+    both = hits.join(n, key, "left").withColumn("n_facts", F.coalesce("n_facts", F.lit(0)))
+    init = F.try_divide(F.col("n_recalled").cast("double"), F.col("n_facts"))
+    factor = F.least(F.lit(1.0), F.col("n_facts") / gamma) if gamma > 0 else F.lit(1.0)
+    return both.select(*keys, "n_facts", "n_recalled", F.round(init, 6).alias("recall_init"), F.round(init * factor, 6).alias("recall"))
+
+
+def overlap_scores(facts: DataFrame, texts: DataFrame, key: str, keys: list[str]) -> DataFrame:
+    """(keys, fact_id, score) of (key, fact_id, tokens) against (keys, tokens): the share of a fact's distinct tokens that
+    the text has. Facts and texts meet by key and token, so common tokens of one key are all that is ever joined."""
+    own = facts.select(key, "fact_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    size = facts.select(key, "fact_id", F.size(F.array_distinct("tokens")).alias("size"))
+    said = texts.select(*keys, F.explode(F.array_distinct("tokens")).alias("token"))
+    shared = said.join(own, [key, "token"]).groupBy(*keys, "fact_id").agg(F.count(F.lit(1)).alias("shared"))
+    every = texts.select(*keys).join(size, key)
+    return every.join(shared, [*keys, "fact_id"], "left").select(*keys, "fact_id", F.try_divide(F.coalesce("shared", F.lit(0)).cast("double"), F.col("size")).alias("score"))
+
+
 def recalled(facts: DataFrame, texts: DataFrame, key: str, keys: list[str]) -> DataFrame:
     """Facts of the original beside each later text of its question: fact, SURVIVED if the text has it, else LOST."""
     met = texts.join(facts, key)

@@ -80,12 +80,13 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 5) ->
     return out.select(*keys, "n", F.when(F.col("n") >= least, F.round("p", 6)).alias("pearson"), F.when(F.col("n") >= least, F.round("s", 6)).alias("spearman"))
 
 
-def repeated_correlation(df: DataFrame, subject: str, x: str, y: str) -> DataFrame:
+def repeated_correlation(df: DataFrame, subject: str, x: str, y: str, digits: int | None = 6) -> DataFrame:
     """Correlation within subjects: n, df, r."""
     by = Window.partitionBy(subject)
     c = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": F.col(x) - F.avg(x).over(by), "_y": F.col(y) - F.avg(y).over(by)})
     out = c.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(subject).alias("k"), F.sum(F.col("_x") * F.col("_y")).alias("xy"), F.sum(F.col("_x") * F.col("_x")).alias("xx"), F.sum(F.col("_y") * F.col("_y")).alias("yy"))
-    return out.select("n", (F.col("n") - F.col("k") - 1).alias("df"), F.round(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))), 6).alias("r"))
+    r = F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))
+    return out.select("n", (F.col("n") - F.col("k") - 1).alias("df"), (r if digits is None else F.round(r, digits)).alias("r"))
 
 
 def contingency(df: DataFrame, row: str, column: str) -> DataFrame:

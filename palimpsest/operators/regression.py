@@ -46,11 +46,12 @@ def mediation(df: DataFrame, treatment: str, mediator: str, outcome: str, keys:
     return s.select(*(keys or []), "n", *[F.round(k, 6).alias(k) for k in ("c", "a", "b", "direct", "ab")], F.round(F.try_divide("ab", F.col("c")), 4).alias("proportion"))
 
 
-def equivalence(pairs: DataFrame, diff: str, bound: float, keys: list[str] | None = None) -> DataFrame:
+def equivalence(pairs: DataFrame, diff: str, bound: float, keys: list[str] | None = None, digits: int | None = 6) -> DataFrame:
     """n, mean, sd and the two t statistics of a paired equivalence test; the p is ``equivalence_p``."""
     s = pairs.where(F.col(diff).isNotNull()).groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), F.avg(diff).alias("m"), F.stddev_samp(diff).alias("sd"))
     se = F.col("sd") / F.sqrt("n")
-    return s.select(*(keys or []), "n", F.round("m", 6).alias("mean_diff"), F.round("sd", 6).alias("sd"), F.round(F.try_divide(F.col("m") + bound, se), 6).alias("t_lower"), F.round(F.try_divide(F.col("m") - bound, se), 6).alias("t_upper"))
+    columns = {"mean_diff": F.col("m"), "sd": F.col("sd"), "t_lower": F.try_divide(F.col("m") + bound, se), "t_upper": F.try_divide(F.col("m") - bound, se)}
+    return s.select(*(keys or []), "n", *[(c if digits is None else F.round(c, digits)).alias(k) for k, c in columns.items()])
 
 
 def equivalence_p(t_lower: float, t_upper: float, n: int) -> float:
