@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -121,3 +122,46 @@ def compare_prompts(plan: DataFrame, load: Callable[[], Model], prompts: dict[st
     for r in runs[1:]:
         out = out.unionByName(r)
     return out
+
+
+def _parts(prompt: str) -> tuple[str, str]:
+    """Context and claim of a prompt of ``judged_facts``."""
+    body = prompt.split("\nContext: ", 1)[-1].rsplit("\nIs the claim true or false?", 1)[0]
+    context, _, claim = body.rpartition("\nClaim: ")
+    return context, claim
+
+
+class OverlapJudge:
+    """A deterministic stand-in for a judge: its words follow from the share of the claim's words that the context has."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [self.reply(*_parts(p)) for p in prompts]
+
+    def reply(self, context: str, claim: str) -> str:
+        said, known = set(claim.lower().split()), set(context.lower().split())
+        if not known:
+            return "Perhaps."
+        share = len(said & known) / max(1, len(said))
+        return "True." if share >= 0.5 else "False at first sight, but true." if share >= 0.35 else "True? No, false." if share >= 0.2 else "It is not in the text."
+
+
+class Lister:
+    """A deterministic stand-in for a model that lists facts: a line for each sentence, between two lines of talk."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return ["Here are the facts:\n" + "".join(f"- {s.strip()}\n" for s in re.split(r"(?<=[.!?])\s+", p) if s.strip()) + "\nThat is all." for p in prompts]
+
+
+class Comparer:
+    """A deterministic stand-in for a judge that answers in JSON, which it leaves open where it has much to say: the label
+    and the first three words of one letter or more that the second text has lost."""
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        return [self.reply(*p.split("\nSecond: ", 1)) for p in prompts]
+
+    def reply(self, first: str, second: str = "") -> str:
+        one, two = (list(dict.fromkeys(re.findall(r"[a-z]+", t.lower()))) for t in (first.removeprefix("First: "), second))
+        lost = [w for w in one if w not in set(two)]
+        label = "same" if not lost else "partial" if len(lost) < len(one) else "different"
+        items = ", ".join(f'"{w}"' for w in lost[:3])
+        return f'{{"label": "{label}", "lost": [{items}' if len(lost) >= 3 else f'Here it is: {{"label": "{label.upper()}", "lost": [{items}]}}'
