@@ -80,8 +80,8 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -
     return packed.join(maybe_broadcast(gone, 64), same, "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in folders by the column ``by`` if given, and read it back.
 
     This cuts the lineage: a lost executor costs the tasks since the last such step only, as the files
     do not live on the executors.
@@ -89,7 +89,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ship_package(spark)
     path = f"{_folder.get() or shared_dir(spark)}/steps/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
