@@ -14,6 +14,7 @@ through the table together. If the tables outgrow their bound, they are dropped
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 
@@ -148,6 +149,19 @@ class PieceTransducer:
         self.index: dict[tuple, int] = {}
         self._state("", (None,), (0,))
 
+    def tables(self) -> bytes:
+        """What has been compiled so far, for ``restore``."""
+        n = len(self.states)
+        return pickle.dumps((self.width, self.local, self.columns, self.next[:n], self.added[:n], self.states, self.index), protocol=5)
+
+    def restore(self, tables: bytes) -> None:
+        """Begin with the tables that a transducer of the same model compiled."""
+        self.width, self.local, self.columns, following, added, self.states, self.index = pickle.loads(tables)
+        rows = max(1024, 1 << len(self.states).bit_length())
+        self.next = np.full((rows, self.width), -1, np.int32)
+        self.added = np.zeros((rows, self.width), np.int16)
+        self.next[: len(following)], self.added[: len(added)] = following, added
+
     def _state(self, text: str, lasts: tuple, counts: tuple) -> int:
         """The state after ``text``, with the last piece and the count at each border; borders no piece can begin at are dropped."""
         views = [self._seen_by(last, text[k:]) if last is not CLOSED and text[k:] in self.starts else None for k, last in enumerate(lasts)]
