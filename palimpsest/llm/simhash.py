@@ -10,7 +10,8 @@ each bucket only a spanning forest of its links goes on, shortest links first; c
 
 Defined cases: null text is empty; a text without words has fingerprint zero, which links like any other; fewer
 words than a shingle make one shingle; null doc_ids are returned with their fingerprint, and take no part in
-naming a component (which is null if it has no other ids); repeated rows are in one component.
+naming a component (which is null if it has no other ids); repeated rows are in one component; an empty table gives an
+empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

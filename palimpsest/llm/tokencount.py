@@ -12,7 +12,7 @@ States are compiled on the driver over a bounded sample (``WARM_DOCS`` texts) an
 that; workers compile what is missing. The sample has no part in the counts.
 
 Defined cases: null text is empty and has no tokens; long texts are never cut off; ties and repeated rows do
-not interact, each row is counted by itself; an empty table gives an empty result.
+not interact, each row is counted by itself; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

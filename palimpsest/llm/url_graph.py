@@ -8,7 +8,7 @@ the threshold is blocked; a host nothing is known of is allowed. Everything is b
 what is joined in the rounds is one narrow row per host or per pair of hosts.
 
 Defined cases: null url or none with ``://``: host and path are empty, and the verdict is allow; null html has
-no links; repeated rows count as often as they occur; an empty table gives an empty result.
+no links; repeated rows count as often as they occur; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust for every row of ``pages``."""
+    """id, host, path, rule, verdict for every row of ``pages``."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     ruled = materialize(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumns({"rule": name, "ruled": verdict}))
@@ -98,7 +98,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     scores = propagate(seeds, host_edges(pages, url_col, html_col))
     bad = F.coalesce(F.col("distrust") - F.col("trust") >= threshold - 1e-9, F.lit(False))
     return ruled.join(scores, "host", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict")
+        F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict")
     )
 
 

@@ -107,3 +107,32 @@ def test_pii_sample_of_a_small_share(spark, monkeypatch):
     first = pii.find(docs).collect()
     second = pii.find(docs.repartition(7)).collect()
     assert sorted(first, key=lambda r: r.doc_id) == sorted(second, key=lambda r: r.doc_id) and len(seen) >= 2
+
+
+def test_long_lists_of_spans(spark):
+    """Spans of a text with thousands of matches, and of one with as many as an array holds."""
+    import re
+
+    for n in (0, 1, pii.RUN, pii.RUN + 1, 3000):
+        text = "".join(f"x{k} mail{k}@a.bc, " for k in range(n)) + "end"
+        found = pii.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+        assert [tuple(b) for b in found.base] == want and len(want) == n
+
+
+def test_null_and_repeated_ids(spark):
+    import public_tokenizers
+    from palimpsest.llm import tokencount
+
+    df = wide(spark, [(None, "a b c d e"), (None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (1, None), (2, ""), (None, None)])
+    groups = collections.Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_groups(df).collect())
+    same = {k[1] for k in groups if k[0] == 1} - {"0" * 16}
+    assert sum(groups.values()) == 7 and len(same) == 1
+    assert groups[(None, *same, 1)] == 2 and groups[(1, *same, 1)] == 2 and groups[(1, "0" * 16, 1)] == 1 and groups[(2, "0" * 16, 1)] == 1
+    counts = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in tokencount.token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    tokens = next(n for d, b, n in counts if b == 9)
+    assert counts == {(None, 9, tokens): 2, (1, 9, tokens): 2, (1, 0, 0): 1, (2, 0, 0): 1, (None, 0, 0): 1}
+    exact = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect())
+    assert exact[(None, 1, 4, False)] == 2 and exact[(1, 1, 4, True)] == 2 and exact[(1, 1, 3, True)] == 1 and exact[(None, 1, 3, False)] == 1
+    shards = packing.packed(df).collect()
+    assert len(shards) == 7 and sum(r.n_tokens for r in shards) == 20
