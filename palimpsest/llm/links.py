@@ -7,7 +7,8 @@ are compared.
 
 A bucket of up to ``block`` classes is one block, in which all pairs meet. A larger one is first dealt into blocks by
 a hash of class and bucket, another deal in each band, so that a large group of copies is joined by few rows. If a bucket
-is still of several components, its classes get further bands, of more hashes each (``FURTHER``), and meet where they share
+is still of several components, its blocks meet, every two that differ in component, as long as that takes few rows (a
+large component and some strays). If it takes more, the classes get further bands, of more hashes each (``FURTHER``), and meet where they share
 one of those: rows are a constant factor of the classes, and a pair at the threshold (0.8) is missed by one step with a
 probability of less than 0.001. What is of several components and larger than a block after all of them, classes that are
 alike in most of their shingles and yet not linked, meets block by block, every two that differ in component.
@@ -33,6 +34,8 @@ FIRST_BANDS = 6
 #: Hashes a band of the steps that split large buckets.
 FURTHER = (6, 10, 16)
 STEP_RECALL = 0.999
+#: Rows a class up to which the blocks of a large bucket meet at once.
+CROSSING = 6
 
 
 def tune(similarity: float, hashes: int, recall: float) -> tuple[int, int]:
@@ -173,19 +176,37 @@ def similar_components(banded: DataFrame, sets_of: Callable[[DataFrame], DataFra
     for some in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
         linked(dealt(labelled(buckets.where(some), labels), block))
     large = buckets.where(F.col("n") > block)
-    for per_band in FURTHER:
-        left = materialize(labelled(large, labels).select("key").distinct())
-        if left.isEmpty():
+    for per_band in (*FURTHER, None):
+        rows = materialize(labelled(large, labels))
+        if rows.isEmpty():
             return labels
-        split = further(left, sets, similarity, per_band)
-        linked(dealt(labelled(split, labels), block))
-        large = split.where(F.col("n") > block)
-    left = materialize(labelled(large, labels))
-    if not left.isEmpty():
-        linked(crossed(left, block))
+        if per_band is not None:
+            due = materialize(rows.join(crowded(rows, block), "bucket", "left"))
+            rows, left = due.where("crowded is null").drop("crowded"), due.where("crowded").select("key").distinct()
+        linked(crossed(rows, block))
+        if per_band is not None:
+            if left.isEmpty():
+                return labels
+            split = further(left, sets, similarity, per_band)
+            linked(dealt(labelled(split, labels), block))
+            large = split.where(F.col("n") > block)
     return labels
 
 
+def crowded(rows: DataFrame, block: int) -> DataFrame:
+    """(bucket, crowded: true) of the buckets whose blocks would make more than ``CROSSING`` rows a class if all that
+    differ in component met: those of many small components, and not those of a large one and some strays."""
+    half = block / 2
+    own = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("own"))
+    large = F.col("own") > half
+    parts = own.groupBy("bucket").agg(
+        F.sum("own").alias("all"), F.ceil(F.sum(F.when(large, 0).otherwise(F.col("own"))) / half).alias("small"),
+        F.sum(F.when(large, F.ceil(F.col("own") / half)).otherwise(0)).alias("p"), F.sum(F.when(large, F.pow(F.ceil(F.col("own") / half), 2)).otherwise(0.0)).alias("pp"),
+    )
+    pairs = (F.pow(F.col("p") + F.col("small"), 2) - F.col("pp")) / 2
+    return materialize(parts.where(pairs * block > CROSSING * F.col("all")).select("bucket", F.lit(True).alias("crowded")))
+
+
 def further(keys: DataFrame, sets: DataFrame, similarity: float, per_band: int) -> DataFrame:
     """(bucket, n, key) of the classes that share one of as many bands of ``per_band`` hashes as a step's recall takes."""
     bands = math.ceil(math.log1p(-STEP_RECALL) / math.log1p(-(similarity**per_band)))
