@@ -95,6 +95,28 @@ def test_suffixes_of_repeated_and_null_ids(spark, monkeypatch):
         suffixes.removal_report(df.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
+def test_suffixes_send_only_the_ends_of_repeats(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    random_text = lambda n: "".join(rng.choice(list("abcdefghijklmnop qrstuvwxyz"), n))
+    passage = random_text(4000)
+    data = [(k, random_text(300) + passage + random_text(300)) for k in range(30)]
+    sent, plain = [], suffixes.covered_runs
+    monkeypatch.setattr(suffixes, "covered_runs", lambda runs, length: sent.append(runs.agg(F.sum(F.octet_length("body"))).first()[0]) or plain(runs, length))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # texts don't share a block
+    try:
+        small = rows(suffixes.removal_report(df))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == without_repeats(data)
+    assert sent[0] < 30 * 1000  # before: some 60 bytes for each 14 of the passage, 30 times
+    monkeypatch.setattr(suffixes, "HOT_IN_BLOCK", 3)  # names hot in their block only
+    assert rows(suffixes.removal_report(df)) == without_repeats(data)
+    monkeypatch.setattr(suffixes, "names", lambda data, length: np.zeros(max(0, len(data) - length + 1), np.uint64))
+    monkeypatch.setattr(suffixes, "HOT_IN_BLOCK", 1000)
+    assert rows(suffixes.removal_report(df.where("doc_id < 12"))) == without_repeats(data[:12])
+
+
 def test_suffix_names():
     data = np.frombuffer(b"abcdefgh" * 30, np.uint8)
     for n in (1, 2, 16, 50):
