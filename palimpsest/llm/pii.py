@@ -4,29 +4,32 @@ Per kind a strict pattern with a check (parts up to 255, Luhn, digit counts) giv
 pattern per kind proposes further, overlapping candidates; each gets features of its format and context. The trees
 learn from disguised personal data: positives are base spans rewritten so that the base pattern does not fit them
 (``name (at) host (dot) org``, numbers without plus, other separators) in their own context, negatives the candidates
-that touch no base span; both from a bounded sample (``TRAIN_ROWS``). A threshold per kind is calibrated on rows held
-back so that the wanted precision is met. Candidates above it that touch no base span are added. As true disguised
+that touch no base span; all of them, as equal examples are summed up to one row with a weight, and so many bins that
+the trees' splits come from all rows as well. A threshold per kind is calibrated on all examples of the fifth of the ids
+held back so that the wanted precision is met. Candidates above it that touch no base span are added. As true disguised
 data count as negatives there, the precision is underrated rather than overrated. Everything per document is built-in
 functions over arrays of its own row: no shuffle, and the trees are written into the plan as CASE expressions.
 
 Defined cases: null text is empty and has no spans; spans are in code points, end exclusive; of the matches that
-fail their check none is retried; repeated rows are judged alike; an empty table gives an empty result; if the
-sample has candidates of one class only, nothing is added to the base spans; other columns, whatever their names, are
+fail their check none is retried; repeated rows are judged alike; an empty table gives an empty result; if
+the examples are of one class only, nothing is added to the base spans; other columns, whatever their names, are
 not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS = 20_000
 PRECISION = 0.98
+#: Examples a node of a tree has at least.
+NODE = 10
 RUN = 64
 #: Leftmost non-overlapping matches, written without backtracking over long runs: a match starts where a run of its
 #: characters does, or where the last match ended.
@@ -184,33 +187,46 @@ def score(trees: list[tuple], f: Column) -> Column:
     return 1 / (1 + F.exp(-2 * total))
 
 
-def fit(found: DataFrame, train_rows: int = TRAIN_ROWS, precision: float = PRECISION) -> tuple[list[tuple], list[float]] | None:
-    """Trees and a threshold per kind from at most ``train_rows`` examples, a fifth of them held back."""
+def weighted_examples(found: DataFrame) -> DataFrame:
+    """Features, label, held and weight: how many examples of all rows have these."""
+    open_ = F.transform(F.filter("broad", lambda s: _untouched(F.col("base"), s)), lambda s: F.struct(s["f"].alias("f"), F.lit(0.0).alias("label")))
+    taught = F.transform("taught", lambda f: F.struct(f.alias("f"), F.lit(1.0).alias("label")))
+    each = found.select("id", F.explode(F.concat(open_, taught)).alias("s"))
+    each = each.select("s.f.*", "s.label", (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(5)) == 0).alias("held"))
+    return each.groupBy(*each.columns).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def least_scores(scored: DataFrame, precision: float) -> list[float]:
+    """(kind, p, label, weight) -> per kind the least p from which on that share of the examples is good; 2 if none.
+
+    A kind has as many different p as its examples have combinations of leaves.
+    """
+    by_p = scored.groupBy("kind", "p").agg(F.sum(F.col("weight") * F.col("label")).alias("good"), F.sum("weight").alias("n"))
+    down = Window.partitionBy("kind").orderBy(F.desc("p"))
+    above = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # sums of other leaves differ in their last digits
+    last = F.coalesce(F.lead("p").over(down) < F.col("p") - 1e-9, F.lit(True))
+    fits = by_p.select("kind", "p", (F.sum("good").over(above) / F.sum("n").over(above) >= precision).alias("fits"), last.alias("last"))
+    least = {int(r.kind): r.p - 1e-9 for r in fits.where("fits and last").groupBy("kind").agg(F.min("p").alias("p")).collect()}
+    return [least.get(n, 2.0) for n in range(len(KINDS))]
+
+
+def fit(found: DataFrame, precision: float = PRECISION) -> tuple[list[tuple], list[float]] | None:
+    """Trees and a threshold per kind from all examples, those of a fifth of the ids held back."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    open_ = F.transform(F.filter("broad", lambda s: _untouched(F.col("base"), s)), lambda s: F.struct(s["f"].alias("f"), F.lit(0.0).alias("label")))
-    taught = F.transform("taught", lambda f: F.struct(f.alias("f"), F.lit(1.0).alias("label")))
-    examples = found.select("id", F.concat(open_, taught).alias("examples"))
-    total = examples.agg(F.sum(F.size("examples"))).first()[0] or 0
-    part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 52)) / float(1 << 52) < min(1.0, 1.1 * train_rows / max(total, 1))
-    rows = examples.where(part).select("id", F.explode("examples").alias("s")).select("s.f.*", "s.label", (F.pmod(F.xxhash64("id", F.lit(4)), F.lit(5)) == 0).alias("held"))
-    rows = materialize(rows.orderBy(F.xxhash64(*rows.columns, F.lit(5)), *rows.columns).limit(train_rows))
-    seen = {r[0] for r in rows.where("not held").select("label").distinct().collect()}
-    if seen != {0.0, 1.0}:
+    rows = materialize(weighted_examples(found))
+    size = {(r.held, r.label): (r.rows, r.weight) for r in rows.groupBy("held", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("weight").alias("weight")).collect()}
+    if not {(False, 0.0), (False, 1.0)} <= size.keys():
         return None
+    n, weight = (sum(size[False, label][k] for label in (0.0, 1.0)) for k in range(2))
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.where("not held"))
-    trees = trees_of(GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, minInstancesPerNode=10, seed=1).fit(data))
-    held = rows.where("held").select("kind", "label", score(trees, F.struct(*FEATURES)).alias("p")).collect()
-    thresholds = []
-    for n in range(len(KINDS)):
-        own, good, least = sorted(((r.p, r.label) for r in held if r.kind == n), reverse=True), 0.0, 2.0
-        for k, (p, label) in enumerate(own, 1):
-            good += label
-            if good / k >= precision and (k == len(own) or own[k][0] < p - 1e-9):
-                least = p - 1e-9  # sums of other leaves differ in their last digits
-        thresholds.append(least)
-    return trees, thresholds
+    # Spark looks for splits in at most bins^2 or 10,000 rows: in all of them here.
+    bins = 32 if n <= 10_000 else math.isqrt(n) + 1
+    model = GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, maxBins=bins, minInstancesPerNode=1, minWeightFractionPerNode=min(0.49, NODE / weight), weightCol="weight", seed=1).fit(data)
+    trees = trees_of(model)
+    return trees, least_scores(rows.where("held").select("kind", "label", "weight", score(trees, F.struct(*FEATURES)).alias("p")), precision)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from palimpsest.llm import decontaminate, exact_dedup, langid, near_copies, packing, paragraphs, pii, simhash
 
 NAMES = "doc_id long, text string, id string, row string, `__id` int, `__row` int, `__gone` int, key int, hash int, label int, n int, shard int, doc int, gone int"
@@ -109,6 +110,26 @@ def test_pii_sample_of_a_small_share(spark, monkeypatch):
     assert sorted(first, key=lambda r: r.doc_id) == sorted(second, key=lambda r: r.doc_id) and len(seen) >= 2
 
 
+def test_pii_learns_from_all_examples(spark, monkeypatch):
+    """Before: from 20,000 of them, thresholds from the fifth of these."""
+    seen, scored = [], []
+    plain, least = pii.materialize, pii.least_scores
+    text = " ".join(f"mail a{k}.b@host{k}.example.org or 10.0.{k}.7 ph +49 30 {1000000 + k} x {k}-{k}34-55{k} y" for k in range(100, 140))
+    found = plain(pii.candidates(spark.createDataFrame([(k, text) for k in range(250)], "doc_id long, text string")))
+    monkeypatch.setattr(pii, "materialize", lambda df: seen.append(plain(df)) or seen[-1])
+    monkeypatch.setattr(pii, "least_scores", lambda df, precision: scored.append((df, precision)) or least(df, precision))
+    trees, thresholds = pii.fit(found)
+    one = found.select(F.expr("size(taught) + size(filter(broad, s -> not exists(base, b -> b.start < s.end and s.start < b.end)))").alias("n")).first().n
+    assert 250 * one > 25_000 and seen[0].agg(F.sum("weight")).first()[0] == 250 * one
+    assert len(thresholds) == 4 and trees and scored[0][0].agg(F.sum("weight")).first()[0] == one * found.where("pmod(xxhash64(id, 4), 5) = 0").count()
+
+
+def test_thresholds_of_weighted_scores(spark):
+    rows = [(0.0, 0.9, 1.0, 97.0), (0.0, 0.8, 0.0, 1.0), (0.0, 0.8 + 1e-12, 1.0, 2.0), (0.0, 0.7, 0.0, 5.0), (1.0, 0.5, 0.0, 3.0), (2.0, 0.3, 1.0, 1.0)]
+    got = pii.least_scores(spark.createDataFrame(rows, "kind double, p double, label double, weight double"), 0.98)
+    assert got == [0.8 - 1e-9, 2.0, 0.3 - 1e-9, 2.0]
+
+
 def test_long_lists_of_spans(spark):
     """Spans of a text with thousands of matches, and of one with as many as an array holds."""
     import re
