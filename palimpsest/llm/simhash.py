@@ -183,8 +183,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies, which shingles decide and not fingerprints: see ``near_copies``."""
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
+    """The rows of ``docs`` without near copies: those linked as in ``near_groups`` within ``radius`` (None: by no
+    fingerprints), and those that shingles decide, see ``near_copies``."""
     from palimpsest.llm import near_copies  # which imports this module
 
-    return near_copies.drop_near_copies(docs, id_col, text_col)
+    return near_copies.drop_near_copies(docs, id_col, text_col, radius=radius)

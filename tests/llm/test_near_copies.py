@@ -71,6 +71,30 @@ def test_every_two_components_meet(spark):
     assert sum(map(len, met)) < 100 * 20 and max(map(len, met)) <= 40
 
 
+def test_pipeline_stage_links_by_fingerprints(spark):
+    """Every link of op8 counts in the pipeline, besides those by shingles. Before: no fingerprints."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    phrase, base = words_of(8, rng), words_of(300, rng)
+    texts = [phrase * 60 + words_of(12, rng) for _ in range(4)]  # one fingerprint, few shingles in common
+    chain = [edited(base, n, rng) for n in range(0, 40, 2)]
+    texts += [*chain, *(edited(w, 9, rng) for w in chain), *(words_of(50, rng) for _ in range(20))]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(" ".join(w), 3)) for w in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    forest = simhash.Forest(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 3 or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                forest.join(j, i)
+    first = {}
+    for k in range(len(texts)):
+        first.setdefault(forest.root(k), k)
+    assert len(first) < len(kept_of_all_pairs(texts)) < len(texts)
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, frame(spark, texts), "").collect()}
+    assert got == set(first.values())
+
+
 def test_empty_and_null(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, " \n", "x"), (4, "one two", "x"), (5, "One  two", "x"), (None, "one two", "x")], "doc_id long, text string, key string")
     got = simhash.drop_near_copies(df)
