@@ -1,12 +1,11 @@
 """Cluster bootstrap as defined: each resample draws as many clusters as there are, with replacement.
 
-The counts of a resample are multinomial and sum to the number of clusters. Clusters are dealt into ranges of their
-hash, of ``RANGE`` clusters or so. Down a tree of ranges the draws of a node are split among its children by binomials,
-each in proportion to the clusters not yet served; within a range each draw picks a cluster by a hash of seed, range,
-resample and number. So neither a list of clusters nor a row per cluster and resample exists anywhere: a node has one array
-of counts, a range turns its clusters' sums into one row of sums a resample, and these are added up.
-
-All draws follow from the seed and the clusters, whatever the partitions. Clusters up to twice ``RANGE`` are one range.
+The counts of a resample are multinomial and sum to the number of clusters. Each draw picks a cluster by its place in the
+order of clusters, from a hash of seed, resample and the draw's number; ``resampled_sql`` picks the same. Clusters up to
+twice ``RANGE`` are one range, in one row. Beyond it places come from a sort by ranges and prefix sums, and a resample's
+draws are counted where they are hashed: what goes on is a byte a cluster and resample, by ranges of ``RANGE`` places, which
+meet the clusters' sums of the same range. So no list of all clusters and no row per cluster and resample exists anywhere;
+a task that hashes holds the counts of at most ``HELD`` clusters.
 """
 
 from __future__ import annotations
@@ -15,11 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import scratch_folder
+
 RANGE = 2048
-FAN_BITS = 10
+#: Clusters whose counts a task holds, and draws that it hashes at a time.
+HELD, AT_ONCE = 1 << 24, 1 << 18
+#: Draws to hash in a task, and rows to place in one.
+DRAWS_A_TASK, ROWS_A_TASK = 1 << 22, 1 << 16
 
 
 def mix(x: np.ndarray | int) -> np.ndarray:
@@ -37,14 +41,25 @@ def mix_sql(x: str) -> str:
     return f"xor({x}, {x} >> 16)"
 
 
-def picks(seed: int, range_: int, b: int, n: int, clusters: int) -> np.ndarray:
-    """Which of a range's clusters each of its ``n`` draws of resample ``b`` picks."""
+def picks(seed: int, range_: int, b: int, n: int, clusters: int, first: int = 0) -> np.ndarray:
+    """Which of a range's clusters each of ``n`` draws of resample ``b`` picks, from the draw numbered ``first`` on."""
     start = mix(np.uint64(b) ^ mix(np.uint64(range_ & 0xFFFFFFFF) ^ mix(np.uint64(seed))))
-    return ((mix(np.arange(n, dtype=np.uint64) ^ start) * np.uint64(clusters)) >> np.uint64(32)).astype(np.int64)
+    return ((mix(np.arange(first, first + n, dtype=np.uint64) ^ start) * np.uint64(clusters)) >> np.uint64(32)).astype(np.int64)
+
+
+def times_picked(seed: int, b: int, clusters: int, low: int, high: int) -> np.ndarray:
+    """How often resample ``b`` of so many clusters draws each of those at places from ``low`` to below ``high``."""
+    out = np.zeros(high - low, np.int32)
+    for first in range(0, clusters, AT_ONCE):
+        at = picks(seed, 0, b, min(AT_ONCE, clusters - first), clusters, first)
+        if high - low < clusters:
+            at = at[(at >= low) & (at < high)]
+        np.add.at(out, at - low, 1)
+    return out
 
 
 def split(rng: np.random.Generator, draws: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(child, resample): the draws of a node dealt to its children, which have so many clusters."""
+    """(child, resample): the draws of a node dealt to its children, which have so many clusters. By itself; resamples pick by place."""
     out, left, open_ = np.zeros((len(sizes), len(draws)), np.int64), draws.copy(), int(sizes.sum())
     for k, size in enumerate(sizes.tolist()):
         out[k] = left if size == open_ else rng.binomial(left, size / open_)
@@ -53,22 +68,46 @@ def split(rng: np.random.Generator, draws: np.ndarray, sizes: np.ndarray) -> np.
     return out
 
 
-def _split_level(parents: DataFrame, children: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """(keys, node, n: counts by resample) with (keys, node, child, clusters) -> the same of the children."""
-    nodes = children.groupBy(*keys, "node").agg(F.array_sort(F.collect_list(F.struct("child", "clusters"))).alias("parts"))
-    rows = nodes.join(parents, [*keys, "node"]).withColumn("salt", F.crc32(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit("")).cast("binary")))
+def packed(times: np.ndarray) -> bytes:
+    """A byte a count, or four if one needs more."""
+    return (times.astype(np.uint8) if times.max() < 256 else times.astype(np.int32)).tobytes()
+
+
+def unpacked(times: bytes, clusters: int) -> np.ndarray:
+    return np.frombuffer(times, np.uint8 if len(times) == clusters else np.int32)
+
+
+def _placed(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """``rows`` with ``place``: how many clusters of the key stand before the row's, by prefix sums over sorted ranges."""
+    spark = rows.sparkSession
+    ranges = rows.repartitionByRange(-(-n_rows // ROWS_A_TASK), *keys, "cluster").sortWithinPartitions(*keys, "cluster")
+    folder = scratch_folder(spark, "places")  # a second run could cut other ranges
+    ranges.select("*", F.spark_partition_id().alias("range_"), F.monotonically_increasing_id().alias("seq_")).write.parquet(folder)
+    ranges = spark.read.parquet(folder)
+    parts = ranges.groupBy(*keys, "range_").agg(F.min("seq_").alias("least_"), F.count(F.lit(1)).alias("rows_"))
+    before = F.sum("rows_").over(Window.partitionBy(*keys).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = parts.select(*keys, "range_", "least_", F.coalesce(before, F.lit(0)).alias("before_"))
+    return ranges.join(F.broadcast(starts), [*keys, "range_"]).withColumn("place", F.col("before_") + F.col("seq_") - F.col("least_")).drop("range_", "seq_", "least_", "before_")
+
+
+def _counted(sizes: DataFrame, keys: list[str], draws: int, seed: int, range_size: int, n_clusters: int) -> DataFrame:
+    """(keys, node, b, times): how often resample ``b`` draws each cluster of the range, of (keys, clusters)."""
+    units = sizes.select(*keys, "clusters", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    held = HELD // range_size * range_size
+    units = units.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("clusters") - 1) / held))).alias("part")).repartition(-(-n_clusters * draws // DRAWS_A_TASK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                parts = b.column("parts").slice(k, 1).flatten()
-                rng = np.random.default_rng([seed, b.column("salt")[k].as_py(), b.column("node")[k].as_py(), len(parts)])
-                found = split(rng, b.column("n").slice(k, 1).flatten().to_numpy(), parts.field("clusters").to_numpy())
-                own = [pa.array([b.column(c)[k].as_py()] * len(parts), b.column(c).type) for c in keys]
-                yield pa.RecordBatch.from_arrays([*own, parts.field("child"), pa.array(list(found), pa.list_(pa.int64()))], names=[*keys, "node", "n"])
+                clusters, r, low = b.column("clusters")[k].as_py(), b.column("b")[k].as_py(), b.column("part")[k].as_py() * held
+                times = times_picked(seed, r, clusters, low, min(low + held, clusters))
+                cut = [packed(times[x : x + range_size]) for x in range(0, len(times), range_size)]
+                same = [pa.array([b.column(c)[k].as_py()] * len(cut), b.column(c).type) for c in keys]
+                nodes = np.arange(len(cut)) + low // range_size
+                yield pa.RecordBatch.from_arrays([*same, pa.array(nodes, pa.int64()), pa.array([r] * len(cut), pa.int64()), pa.array(cut, pa.binary())], names=[*keys, "node", "b", "times"])
 
-    kinds = dict(rows.dtypes)
-    return rows.select(*keys, "node", "parts", "n", "salt").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "node long, n array<long>"]))
+    kinds = dict(units.dtypes)
+    return units.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "node long, b long, times binary"]))
 
 
 def resampled_sums(sums: DataFrame, columns: list[str], draws: int, seed: int, keys: list[str] | None = None, range_size: int = RANGE) -> DataFrame:
@@ -76,41 +115,48 @@ def resampled_sums(sums: DataFrame, columns: list[str], draws: int, seed: int, k
     resamples of the key's clusters, and how many clusters it drew: as many as there are. Null sums count as 0."""
     plain = keys or []
     keys = plain or ["all_"]
+    spark = sums.sparkSession
     rows = sums if plain else sums.withColumn("all_", F.lit(0))
     rows = rows.where(F.col("cluster").isNotNull()).select(*keys, "cluster", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    folder = scratch_folder(spark, "clusters")  # read more than once, and what makes it may be long
+    rows.write.parquet(folder)
+    rows = spark.read.parquet(folder)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"))
-    largest = sizes.agg(F.max("clusters")).first()[0] or 0
-    bits = 0 if largest <= 2 * range_size else int(-(-largest // range_size) - 1).bit_length()
-    node = F.shiftrightunsigned(F.xxhash64("cluster"), 64 - bits) if bits else F.lit(0).cast("long")
-    rows = rows.withColumn("node", node)
-    counts = sizes.select(*keys, F.lit(0).cast("long").alias("node"), F.array_repeat(F.col("clusters"), draws).alias("n"))
-    if bits:
-        filled = rows.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("clusters"))
-        cuts = [*range(0, bits, FAN_BITS), bits]
-        for above, below in zip(cuts, cuts[1:], strict=False):
-            child = F.shiftright("node", bits - below)
-            level = filled.groupBy(*keys, child.alias("child")).agg(F.sum("clusters").alias("clusters")).withColumn("node", F.shiftright("child", below - above))
-            counts = _split_level(counts, level, keys, seed)
-    held = rows.groupBy(*keys, "node").agg(F.array_sort(F.collect_list(F.struct("cluster", *columns))).alias("own")).join(counts, [*keys, "node"])
+    whole = sizes.agg(F.max("clusters").alias("largest"), F.sum("clusters").alias("n")).first()
+    if (whole.largest or 0) <= 2 * range_size:
+        placed = rows.select(*keys, F.lit(0).cast("long").alias("node"), F.struct("cluster", *columns).alias("row"))
+        once = sizes.select(*keys, F.lit(0).cast("long").alias("node"), "clusters")
+        drawn = once.withColumn("drawn", F.array().cast("array<struct<b: bigint, times: binary>>"))
+    else:
+        at = F.floor(F.col("place") / range_size)
+        placed = _placed(rows, keys, whole.n).select(*keys, at.alias("node"), F.struct("place", *columns).alias("row"))
+        drawn = _counted(sizes, keys, draws, seed, range_size, whole.n).groupBy(*keys, "node").agg(F.collect_list(F.struct("b", "times")).alias("drawn"))
+    held = placed.groupBy(*keys, "node").agg(F.array_sort(F.collect_list("row")).alias("own")).join(drawn, [*keys, "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                own = b.column("own").slice(k, 1).flatten()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.column("own").slice(k, 1).flatten()
                 table = np.stack([own.field(c).to_numpy() for c in columns], axis=1)
-                n = b.column("n").slice(k, 1).flatten().to_numpy()
-                at = b.column("node")[k].as_py()
-                made = np.stack([np.bincount(picks(seed, at, r, int(m), len(table)), minlength=len(table)) @ table for r, m in enumerate(n.tolist())])
-                same = [pa.array([b.column(c)[k].as_py()] * len(n), b.column(c).type) for c in keys]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(len(n)), pa.int64()), pa.array(n), *[pa.array(made[:, j]) for j in range(len(columns))]], names=[*keys, "b", "n_drawn", *columns])
+                m = len(table)
+                found = batch.column("drawn").slice(k, 1).flatten()
+                if len(found):
+                    resamples = found.field("b").to_numpy()
+                    times = [unpacked(x.as_py(), m) for x in found.field("times")]
+                else:
+                    resamples = np.arange(draws)
+                    times = [np.bincount(picks(seed, 0, r, m, m), minlength=m) for r in range(draws)]
+                n, made = np.array([int(t.sum()) for t in times]), np.stack([t @ table for t in times])
+                same = [pa.array([batch.column(c)[k].as_py()] * len(n), batch.column(c).type) for c in keys]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(resamples, pa.int64()), pa.array(n, pa.int64()), *[pa.array(made[:, j]) for j in range(len(columns))]], names=[*keys, "b", "n_drawn", *columns])
 
     kinds = dict(held.dtypes)
-    found = held.select(*keys, "node", "own", "n").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "b long, n_drawn long", *(f"`{c}` double" for c in columns)]))
+    found = held.select(*keys, "node", "own", "drawn").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "b long, n_drawn long", *(f"`{c}` double" for c in columns)]))
     return found.groupBy(*plain, "b").agg(*[F.sum(c).alias(c) for c in ("n_drawn", *columns)])
 
 
 def resampled_sql(source: str, columns: list[str], draws: int, seed: int, keys: list[str] | None = None, name: str = "rs") -> str:
-    """CTEs ending in ``name`` (keys, b, n_drawn, columns), for up to twice ``RANGE`` clusters a key."""
+    """CTEs ending in ``name`` (keys, b, n_drawn, columns): the same draws, for any number of clusters."""
     by = "".join(f"{k}, " for k in keys or [])
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     using = " AND ".join([*(f"p.{k} IS NOT DISTINCT FROM c.{k}" for k in keys or []), "p.i_ = c.i_"])

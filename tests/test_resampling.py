@@ -1,6 +1,7 @@
 """Resamples draw as many clusters as there are, each alike, and are the same whatever the ranges."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from palimpsest.operators import resampling
 
@@ -34,6 +35,31 @@ def test_splits_and_picks():
     assert len(counts) == 50 and ((counts - 4000) ** 2 / 4000).sum() < 95
 
 
+def test_draws_are_those_of_the_sql_beyond_one_range(spark, monkeypatch):
+    """Of any number of clusters, in ranges of 64 and of 2048, with counts held in parts and in one."""
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    rows = [(kind, f"q{q}", 1.0, float(rng.normal())) for kind, n in (("a", 5000), ("b", 130), ("c", 1)) for q in range(n)]
+    k = pd.DataFrame(rows, columns=["kind", "cluster", "c", "s"])  # noqa: F841
+    want = duckdb.sql(f"WITH {resampling.resampled_sql('k', ['c', 's'], 20, 9, ['kind'])} SELECT kind, b, n_drawn, c, s FROM rs").fetchall()
+    df = spark.createDataFrame(rows, "kind string, cluster string, c double, s double").repartition(3)
+    for size, held, a_task in ((64, 1024, 1000), (resampling.RANGE, 1 << 24, 1 << 16)):
+        monkeypatch.setattr(resampling, "HELD", held)
+        monkeypatch.setattr(resampling, "ROWS_A_TASK", a_task)
+        got = {(r.kind, r.b): (r.n_drawn, r.c, r.s) for r in resampling.resampled_sums(df, ["c", "s"], 20, 9, ["kind"], range_size=size).collect()}
+        assert got.keys() == {w[:2] for w in want} and all(got[w[:2]] == pytest.approx(w[2:], abs=1e-9) for w in want)
+
+
+def test_counts_by_parts(monkeypatch):
+    """Draws hashed in parts, for some of the places, and counts that a byte can't hold."""
+    want = np.bincount(resampling.picks(3, 0, 5, 5000, 5000), minlength=5000)
+    monkeypatch.setattr(resampling, "AT_ONCE", 700)
+    assert (resampling.times_picked(3, 5, 5000, 0, 5000) == want).all() and (resampling.times_picked(3, 5, 5000, 1024, 2048) == want[1024:2048]).all()
+    for times in (want, want * 300):
+        assert (resampling.unpacked(resampling.packed(times), 5000) == times).all()
+
+
 def test_empty_and_null_clusters(spark):
     df = spark.createDataFrame([(None, 1.0)], "cluster long, s double")
     assert resampling.resampled_sums(df, ["s"], 3, 1).count() == 0
