@@ -299,19 +299,18 @@ s AS (SELECT label, vec_id, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 5)
 SELECT label, vec_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS rn FROM s) WHERE rn <= 3"""
 
 
-def token_vectors(spark, sf_dir, rows):
-    """(qid, step, pos, vector): a vector of ``embeddings`` for every token, chosen by the token's hash, as the stand-in
-    for a model's token vectors."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
-    size = e.agg(F.max("v") + 1).first()[0] or 1
-    tokens = rows.select("qid", "step", F.posexplode(F.filter(F.split("text", r"\s+"), lambda t: t != "")).alias("pos", "token"))
-    chosen = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % size
-    return tokens.select("qid", "step", "pos", chosen.alias("v")).join(e, "v").drop("v")
+def token_numbers(spark, sf_dir, rows):
+    """(qid, step, numbers) and (number, vector): a vector of ``embeddings`` for every token, chosen by the token's hash, as
+    the stand-in for a model's token vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("number"), F.col("embedding").alias("vector"))
+    size = e.agg(F.max("number") + 1).first()[0] or 1
+    chosen = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size
+    return rows.select("qid", "step", F.transform(F.filter(F.split("text", r"\s+"), lambda t: t != ""), chosen).alias("numbers")), e
 
 
 def token_matching(spark, sf_dir):
     """Greedy token matching of each turn with the first and with the one before: precision, recall, F (MT10)."""
-    found = matching.step_matching(token_vectors(spark, sf_dir, load_chains(spark, sf_dir)), ["qid"])
+    found = matching.numbered_matching(*token_numbers(spark, sf_dir, load_chains(spark, sf_dir)), ["qid"])
     return found.select("qid", "step", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
 
 
