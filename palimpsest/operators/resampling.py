@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.order_statistics import beside
 from palimpsest.sources.scratch import scratch_folder
 
 RANGE = 2048
@@ -87,12 +88,12 @@ def _placed(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
     parts = ranges.groupBy(*keys, "range_").agg(F.min("seq_").alias("least_"), F.count(F.lit(1)).alias("rows_"))
     before = F.sum("rows_").over(Window.partitionBy(*keys).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
     starts = parts.select(*keys, "range_", "least_", F.coalesce(before, F.lit(0)).alias("before_"))
-    return ranges.join(F.broadcast(starts), [*keys, "range_"]).withColumn("place", F.col("before_") + F.col("seq_") - F.col("least_")).drop("range_", "seq_", "least_", "before_")
+    return beside(ranges, F.broadcast(starts), [*keys, "range_"]).withColumn("place", F.col("before_") + F.col("seq_") - F.col("least_")).drop("range_", "seq_", "least_", "before_")
 
 
-def _counted(sizes: DataFrame, keys: list[str], draws: int, seed: int, range_size: int, n_clusters: int) -> DataFrame:
-    """(keys, node, b, times): how often resample ``b`` draws each cluster of the range, of (keys, clusters)."""
-    units = sizes.select(*keys, "clusters", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+def _counted(sizes: DataFrame, draws: int, seed: int, range_size: int, n_clusters: int) -> DataFrame:
+    """(clusters, node, b, times): how often resample ``b`` of so many clusters draws each of the range, of (clusters)."""
+    units = sizes.select("clusters", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
     held = HELD // range_size * range_size
     units = units.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("clusters") - 1) / held))).alias("part")).repartition(-(-n_clusters * draws // DRAWS_A_TASK))
 
@@ -102,12 +103,10 @@ def _counted(sizes: DataFrame, keys: list[str], draws: int, seed: int, range_siz
                 clusters, r, low = b.column("clusters")[k].as_py(), b.column("b")[k].as_py(), b.column("part")[k].as_py() * held
                 times = times_picked(seed, r, clusters, low, min(low + held, clusters))
                 cut = [packed(times[x : x + range_size]) for x in range(0, len(times), range_size)]
-                same = [pa.array([b.column(c)[k].as_py()] * len(cut), b.column(c).type) for c in keys]
                 nodes = np.arange(len(cut)) + low // range_size
-                yield pa.RecordBatch.from_arrays([*same, pa.array(nodes, pa.int64()), pa.array([r] * len(cut), pa.int64()), pa.array(cut, pa.binary())], names=[*keys, "node", "b", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array([clusters] * len(cut), pa.int64()), pa.array(nodes, pa.int64()), pa.array([r] * len(cut), pa.int64()), pa.array(cut, pa.binary())], names=["clusters", "node", "b", "times"])
 
-    kinds = dict(units.dtypes)
-    return units.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "node long, b long, times binary"]))
+    return units.mapInArrow(run, "clusters long, node long, b long, times binary")
 
 
 def resampled_sums(sums: DataFrame, columns: list[str], draws: int, seed: int, keys: list[str] | None = None, range_size: int = RANGE) -> DataFrame:
@@ -123,15 +122,15 @@ def resampled_sums(sums: DataFrame, columns: list[str], draws: int, seed: int, k
     rows = spark.read.parquet(folder)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("clusters"))
     whole = sizes.agg(F.max("clusters").alias("largest"), F.sum("clusters").alias("n")).first()
+    row = lambda first: F.array_sort(F.collect_list(F.struct(first, *columns))).alias("own")
     if (whole.largest or 0) <= 2 * range_size:
-        placed = rows.select(*keys, F.lit(0).cast("long").alias("node"), F.struct("cluster", *columns).alias("row"))
-        once = sizes.select(*keys, F.lit(0).cast("long").alias("node"), "clusters")
-        drawn = once.withColumn("drawn", F.array().cast("array<struct<b: bigint, times: binary>>"))
+        held = rows.groupBy(*keys).agg(row("cluster")).withColumn("drawn", F.array().cast("array<struct<b: bigint, times: binary>>"))
     else:
         at = F.floor(F.col("place") / range_size)
-        placed = _placed(rows, keys, whole.n).select(*keys, at.alias("node"), F.struct("place", *columns).alias("row"))
-        drawn = _counted(sizes, keys, draws, seed, range_size, whole.n).groupBy(*keys, "node").agg(F.collect_list(F.struct("b", "times")).alias("drawn"))
-    held = placed.groupBy(*keys, "node").agg(F.array_sort(F.collect_list("row")).alias("own")).join(drawn, [*keys, "node"])
+        placed = beside(_placed(rows, keys, whole.n), sizes, keys).withColumn("node", at).repartition("clusters", "node")  # keys of as many clusters share their draws
+        alike = sizes.select("clusters").distinct()
+        drawn = _counted(alike, draws, seed, range_size, alike.agg(F.sum("clusters")).first()[0]).groupBy("clusters", "node").agg(F.collect_list(F.struct("b", "times")).alias("drawn"))
+        held = placed.groupBy(*keys, "clusters", "node").agg(row("place")).join(drawn, ["clusters", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +150,7 @@ def resampled_sums(sums: DataFrame, columns: list[str], draws: int, seed: int, k
                 yield pa.RecordBatch.from_arrays([*same, pa.array(resamples, pa.int64()), pa.array(n, pa.int64()), *[pa.array(made[:, j]) for j in range(len(columns))]], names=[*keys, "b", "n_drawn", *columns])
 
     kinds = dict(held.dtypes)
-    found = held.select(*keys, "node", "own", "drawn").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "b long, n_drawn long", *(f"`{c}` double" for c in columns)]))
+    found = held.select(*keys, "own", "drawn").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "b long, n_drawn long", *(f"`{c}` double" for c in columns)]))
     return found.groupBy(*plain, "b").agg(*[F.sum(c).alias(c) for c in ("n_drawn", *columns)])
 
 

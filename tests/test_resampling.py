@@ -40,7 +40,7 @@ def test_draws_are_those_of_the_sql_beyond_one_range(spark, monkeypatch):
     import duckdb
 
     rng = np.random.default_rng(4)
-    rows = [(kind, f"q{q}", 1.0, float(rng.normal())) for kind, n in (("a", 5000), ("b", 130), ("c", 1)) for q in range(n)]
+    rows = [(kind, f"q{q}", 1.0, float(rng.normal())) for kind, n in (("a", 5000), ("b", 130), ("c", 1), (None, 130)) for q in range(n)]
     k = pd.DataFrame(rows, columns=["kind", "cluster", "c", "s"])  # noqa: F841
     want = duckdb.sql(f"WITH {resampling.resampled_sql('k', ['c', 's'], 20, 9, ['kind'])} SELECT kind, b, n_drawn, c, s FROM rs").fetchall()
     df = spark.createDataFrame(rows, "kind string, cluster string, c double, s double").repartition(3)
@@ -60,6 +60,19 @@ def test_counts_by_parts(monkeypatch):
         assert (resampling.unpacked(resampling.packed(times), 5000) == times).all()
 
 
+def test_what_is_summed_up_is_made_once(spark):
+    """The rows may come from a long plan, which the count of clusters does not run again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(100).selectExpr("id AS cluster", "1.0D AS s").mapInArrow(run, "cluster long, s double")
+    assert resampling.resampled_sums(df, ["s"], 3, 1).count() == 3 and made.value == 100
+
+
 def test_empty_and_null_clusters(spark):
     df = spark.createDataFrame([(None, 1.0)], "cluster long, s double")
     assert resampling.resampled_sums(df, ["s"], 3, 1).count() == 0
