@@ -85,6 +85,31 @@ def test_retrieval_against_all_pairs(spark, top):
     assert sum([x for *_, x in sorted(got[k])] == [x for _, x in v[:top]] for k, v in want.items()) >= len(want) - 1  # a tie in the sixth digit
 
 
+@pytest.mark.parametrize("held", [0, 32_000_000])
+def test_retrieval_of_either_index(spark, monkeypatch, held):
+    """Joined or held by the workers: equal demos, a token in half of them, a query in two rows, null texts."""
+    monkeypatch.setattr(retrieval, "HELD_BYTES", held)
+    rng = np.random.default_rng(7)
+    demos = list(enumerate(texts(rng, 40, 30, 200))) + [(100, "same same text"), (101, "same same text")]
+    demos = [(k, t + (" half" if k % 2 else "")) for k, t in demos[:-2]] + demos[-2:] + [(102, "half"), (103, "half x"), (104, ""), (105, None)]
+    queries = list(enumerate(texts(rng, 30, 50, 200))) + [(500, "same text"), (501, "half"), (502, "zzz"), (503, ""), (504, None)]
+    d, q = spark.createDataFrame(demos, "did long, text string"), spark.createDataFrame(queries + [(7, "same"), (None, "text")], "qid long, text string").repartition(3)
+    want = slow_bm25([(k, (t or "") + (" same" if k == 7 else "")) for k, t in queries] + [(None, "text")], [(k, t or "") for k, t in demos])
+    got = {(r.qid, r["rank"]): (r.did, r.score) for r in retrieval.bm25_top(q, d, top=2).collect() if held or r.qid is not None}
+    for k, v in want.items():
+        for n, (s, x) in enumerate(v[:2]):
+            if held or k is not None:
+                assert got.pop((k, n + 1)) == (x, pytest.approx(-s, abs=2e-6)), (k, n)
+    assert not got
+
+
+def test_queries_are_not_shuffled_by_token(spark):
+    """The demos of the query at hand are few: no shuffle below its rows, whatever the queries' tokens."""
+    q, d = spark.createDataFrame([(k, "a b c") for k in range(50)], "qid long, text string"), spark.createDataFrame([(k, f"a b{k}") for k in range(5)], "did long, text string")
+    plan = retrieval.bm25_top(q, d)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
 def test_joined_rows_do_not_follow_common_tokens(spark):
     """Twice the demos that share only common tokens with the queries hardly add rows."""
     rng, joined = np.random.default_rng(5), []
