@@ -53,14 +53,14 @@ def _documents(spark, sf_dir) -> DataFrame:
 
 def learned_abbreviations(spark, sf_dir):
     """Words that the documents teach to be abbreviations, with their scores (SC10)."""
-    known = sentences.abbreviations(sentences.tokens(_documents(spark, sf_dir), ["doc_id"]))
+    known = sentences.abbreviations_of(sentences.word_counts(_documents(spark, sf_dir)))
     return known.select("type", F.round("score", 5).alias("score"))
 
 
 def learned_starters(spark, sf_dir):
     """Words that the documents teach to start sentences, with their scores (SC10)."""
-    rows = sentences.tokens(_documents(spark, sf_dir), ["doc_id"])
-    return sentences.starters(rows, sentences.abbreviations(rows)).select("type", F.round("score", 4).alias("score"))
+    _, first = sentences.taught_by(_documents(spark, sf_dir))
+    return first.select("type", F.round("score", 4).alias("score"))
 
 
 def sentence_counts(spark, sf_dir):

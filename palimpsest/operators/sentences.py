@@ -4,16 +4,32 @@ A word is an abbreviation if a period follows it far more often than chance woul
 words and words seen without a period are marked down in. A word starts sentences if it follows sentence ends far more
 often than chance, by another ratio. Both come from counts that Spark adds up, one row a word; texts are then split where
 a period ends no abbreviation, or a sentence starter follows one. A single letter before a period is an initial.
+
+What is looked at in a word is looked at once for each different word, and of words in their places only those with a sign
+that can end a sentence. Both lists are held by the workers up to ``HELD_BYTES``, and texts are split where they are read:
+neither words in their places nor texts are shuffled. Beyond it, and for texts in more than one row, words meet the lists by
+joins and texts by their keys.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import scratch_folder
+
 # Fixed values of the published method: how likely a period is behind an abbreviation, and the two thresholds.
 AFTER_ABBREVIATION, ABBREVIATION, STARTER = 0.99, 0.3, 30.0
 _OUTSIDE = r"^[(\"'\[]+|[)\"',;:\]]+$"
+_SPACE = r"[ \t\n\x0B\f\r]+"
+#: Of each list that the workers hold, and of text that is split at a time.
+HELD_BYTES, TEXT_AT_ONCE = 32_000_000, 1 << 22
 
 
 def core(token: Column) -> Column:
@@ -35,9 +51,32 @@ def _typed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("period", c.endswith(".") & (F.length(c) > 1)).withColumn("type", F.lower(F.when(F.col("period"), c.substr(F.lit(1), F.length(c) - 1)).otherwise(c)))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def _held(df: DataFrame) -> bool:
+    """Whether a list of (type) may be sent to all workers."""
+    return (df.agg(F.sum(F.octet_length("type") + 32)).first()[0] or 0) <= HELD_BYTES
+
+
+def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(token, n): the words of all texts."""
+    each = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return texts.select(F.explode(each).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def abbreviations(rows: DataFrame) -> DataFrame:
     """(type, score) of the words that are abbreviations, from the rows of ``tokens``."""
-    counts = _typed(rows).where(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(F.count_if("period").alias("with"), F.count_if(~F.col("period")).alias("without"))
+    return abbreviations_of(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+
+
+def abbreviations_of(words: DataFrame) -> DataFrame:
+    """``abbreviations`` from the rows of ``word_counts``."""
+    times = lambda said: F.sum(F.when(said, F.col("n")).otherwise(0))
+    counts = _typed(words).where(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(times(F.col("period")).alias("with"), times(~F.col("period")).alias("without"))
     total = counts.agg(F.sum("with").alias("n_periods"), F.sum(F.col("with") + F.col("without")).alias("n"))
     scored = counts.where(F.col("with") > 0).join(F.broadcast(total), F.lit(True))
     share = F.col("n_periods") / F.col("n")
@@ -62,13 +101,23 @@ def _ends(rows: DataFrame, known: DataFrame) -> DataFrame:
     return marked.withColumn("kind", kind).drop("short")
 
 
+def _may_end(token: Column) -> Column:
+    return token.contains(".") | token.contains("!") | token.contains("?")
+
+
 def starters(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(type, score) of the words that start sentences; ``known``: the abbreviations."""
-    ended = _ends(rows, known)
-    counts = ended.where(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(F.count(F.lit(1)).alias("b"))
-    behind = ended.where((F.col("kind") == "end") & F.col("following").isNotNull()).select(F.col("following").alias("token"))
-    first = _typed(behind).groupBy("type").agg(F.count(F.lit(1)).alias("ab"))
-    totals = ended.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("kind") == "end") & F.col("following").isNotNull()).alias("a"))
+    return starters_of(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")), rows.where(_may_end(F.col("token"))).select("token", "following"), known)
+
+
+def starters_of(words: DataFrame, ends: DataFrame, known: DataFrame) -> DataFrame:
+    """``starters`` from the rows of ``word_counts`` and (token, following) of the words that can end a sentence."""
+    known = F.broadcast(known) if _held(known) else known
+    ended = _ends(ends.where(F.col("following").isNotNull()), known).where(F.col("kind") == "end")
+    behind = _typed(ended.groupBy(F.col("following").alias("token")).agg(F.count(F.lit(1)).alias("n")))
+    first = _kept(behind.groupBy("type").agg(F.sum("n").alias("ab")), "behind")
+    counts = _typed(words).where(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(F.sum("n").alias("b"))
+    totals = words.agg(F.sum("n").alias("n")).join(first.agg(F.sum("ab").alias("a")), F.lit(True))
     s = counts.join(first, "type").join(F.broadcast(totals), F.lit(True))
     a, b, ab, n = (F.col(x).cast("double") for x in ("a", "b", "ab", "n"))
     log = lambda x: F.ln(F.greatest(x, F.lit(1e-300)))
@@ -90,13 +139,111 @@ def breaks(rows: DataFrame, known: DataFrame, first: DataFrame) -> DataFrame:
     return both.withColumn("last", F.coalesce(last, F.lit(False))).drop("begin", "starts", "kind", "following")
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of texts, the number of the text of each, and whether the next word is in the same line."""
+    lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lines).to_numpy())
+    words = pc.split_pattern_regex(lines.flatten(), _SPACE)
+    line = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())
+    words = words.flatten()
+    some = pc.not_equal(words, "")
+    words, line = words.filter(some), line[some.to_numpy(zero_copy_only=False)]
+    return words, row[line], np.append(line[1:] == line[:-1], False)[: len(line)]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    low = total = 0
+    for k, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if k > low and total + size > TEXT_AT_ONCE:
+            yield low, k
+            low, total = k, 0
+        total += size
+    yield low, len(texts)
+
+
+def _mask(x: pa.Array) -> np.ndarray:
+    return pc.fill_null(x, False).to_numpy(zero_copy_only=False)
+
+
+def ends_of(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(token, following) of the words that can end a sentence and have one behind in their line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high in _slices(b.column(0)):
+                words, _, goes_on = _words(b.column(0).slice(low, high - low))
+                at = np.flatnonzero(_mask(pc.match_substring_regex(words, "[.!?]")) & goes_on)
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(at)), words.take(pa.array(at + 1))], names=["token", "following"])
+
+    return texts.select(F.col(text).alias("text")).mapInArrow(run, "token string, following string")
+
+
+def taught_by(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The abbreviations and the sentence starters of texts, each (type, score)."""
+    words = _kept(word_counts(texts, text), "words")
+    known = _kept(abbreviations_of(words), "abbreviations")
+    return known, starters_of(words, ends_of(texts, text), known)
+
+
+def _last(words: pa.Array, goes_on: np.ndarray, known: pa.Array, first: pa.Array) -> np.ndarray:
+    """Whether a sentence ends with each word, as in ``breaks``."""
+    last = ~goes_on
+    at = np.flatnonzero(_mask(pc.match_substring_regex(words, "[.!?]")) & goes_on)
+    c = pc.replace_substring_regex(words.take(pa.array(at)), _OUTSIDE, "")
+    shout, period = _mask(pc.match_substring_regex(c, "[!?]$")), _mask(pc.and_(pc.ends_with(c, "."), pc.greater(pc.utf8_length(c), 1)))
+    kind = pc.utf8_lower(pc.replace_substring_regex(c, r"\.$", ""))
+    initial = _mask(pc.match_substring_regex(kind, r"^\p{L}$"))
+    short = period & ~shout & ~initial & (_mask(pc.ends_with(c, "...")) | _mask(pc.is_in(kind, value_set=known)))
+    last[at] = shout | (period & ~initial & ~short)
+    at = at[short]
+    following = pc.replace_substring_regex(words.take(pa.array(at + 1)), _OUTSIDE, "")
+    begin = pc.utf8_lower(pc.replace_substring_regex(following, r"\.$", ""))
+    last[at] = _mask(pc.match_substring_regex(following, r"^\p{Lu}")) & _mask(pc.is_in(begin, value_set=first))
+    return last
+
+
+def _split_held(texts: DataFrame, keys: list[str], text: str, known: DataFrame, first: DataFrame) -> DataFrame:
+    """``split`` of texts in one row each, by lists that the workers hold."""
+    lists = texts.sparkSession.sparkContext.broadcast([df.select("type").toArrow()["type"].combine_chunks() for df in (known, first)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high in _slices(b.column("text_")):
+                words, row, goes_on = _words(b.column("text_").slice(low, high - low))
+                if not len(words):
+                    continue
+                last = _last(words, goes_on, *lists.value)
+                new = np.append(True, row[1:] != row[:-1])  # the first word of a text
+                begins = np.flatnonzero(np.append(True, last[:-1]) | new)
+                alone = (np.diff(np.append(begins, len(words))) == 1) & ~new[begins]
+                begins = begins[~alone]  # one of a single word is joined to the one before
+                said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(begins, len(words)), pa.int32()), words), " ")
+                own = np.flatnonzero(new[begins])
+                found = pa.ListArray.from_arrays(pa.array(np.append(own, len(begins)), pa.int32()), said)
+                at = pa.array(row[begins[own]] + low)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keys), found], names=[*keys, "sentences"])
+
+    kinds = dict(texts.dtypes)
+    return texts.select(*keys, F.col(text).alias("text_")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "sentences array<string>"]))
+
+
 def split(texts: DataFrame, keys: list[str], text: str = "text", taught: DataFrame | None = None) -> DataFrame:
     """(keys, sentences: array): words joined by one space; one of a single word is joined to the one before. Texts
     without words have no row. ``taught``: (text) to learn from, by default the texts themselves."""
-    rows = tokens(texts, keys, text)
-    lesson = rows if taught is None else tokens(taught, [])
-    known = abbreviations(lesson)
-    marked = breaks(rows, known, starters(lesson, known))
+    known, first = taught_by(texts, text) if taught is None else taught_by(taught)
+    first = _kept(first, "starters")
+    if not _held(known) or not _held(first):
+        return _split_joined(texts, keys, text, known, first)
+    again = texts.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_")).where("rows_ > 1").select(*[F.col(k).alias(f"{k}_of") for k in keys])
+    if again.isEmpty():
+        return _split_held(texts, keys, text, known, first)
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in keys])
+    return _split_held(texts.join(again, same, "left_anti"), keys, text, known, first).unionByName(_split_joined(texts.join(again, same, "left_semi"), keys, text, known, first))
+
+
+def _split_joined(texts: DataFrame, keys: list[str], text: str, known: DataFrame, first: DataFrame) -> DataFrame:
+    """``split`` of texts in any number of rows, by lists of any size."""
+    marked = breaks(tokens(texts, keys, text), known, first)
     per_text = marked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line", "pos", "token", "last"))).alias("t"))
     joined = F.array_join(F.transform("t", lambda x: F.concat(x["token"], F.when(x["last"], "\n").otherwise(" "))), "")
     parts = F.filter(F.split(joined, "\n"), lambda s: s != "")

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 
 import pytest
 from palimpsest.operators import ngram, sentences
@@ -73,3 +74,24 @@ def test_sentences_of_a_taught_corpus(spark):
     texts = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()] + [(7, None)], "k int, text string")
     got = {r.k: r.sentences for r in sentences.split(texts, ["k"], taught=taught).collect()}
     assert got == {k: s for k, (_, s) in cases.items() if s}
+
+
+def test_split_where_read_and_by_joins(spark, monkeypatch):
+    """Lists held by the workers give what joins give: odd spaces and signs, empty lines, texts in two rows, slices of texts."""
+    rng = random.Random(3)
+    words = ["Mr.", "(Dr.", "e.g.", "The", "the", "It", "cold.", 'said."', "A.", "...", "so...", "What?!", "x.)", "Élan", "zu.", "12.", ".", '"', "It.", " ", "end."]
+    lesson = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(30)) + ". The Mr. Gray sat. It was",) for _ in range(80)], "text string")
+    texts = [(k, "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "\t", " \n ", "\x0b"]) for _ in range(rng.randint(0, 40)))) for k in range(120)]
+    df = spark.createDataFrame([*texts, (200, None), (201, " \n "), (202, "One. two"), (202, "Mr. Three")], "k int, text string").repartition(3)
+    monkeypatch.setattr(sentences, "HELD_BYTES", 0)
+    want = sorted((r.k, r.sentences) for r in sentences.split(df, ["k"], taught=lesson).collect() if r.k != 202)
+    monkeypatch.undo()
+    found = sentences.split(df, ["k"], taught=lesson).collect()
+    assert sorted((r.k, r.sentences) for r in found if r.k != 202) == want and len(want) > 100 and [r.k for r in found].count(202) == 1
+
+
+def test_sentences_are_not_shuffled(spark):
+    """The words of a text stay where the text is read; before, each was shuffled and then gathered by text."""
+    df = spark.createDataFrame([(k, "The cat sat. It ran.") for k in range(50)], "k int, text string")
+    plan = sentences.split(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
