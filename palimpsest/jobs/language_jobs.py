@@ -53,7 +53,7 @@ def _documents(spark, sf_dir) -> DataFrame:
 
 def learned_abbreviations(spark, sf_dir):
     """Words that the documents teach to be abbreviations, with their scores (SC10)."""
-    known = sentences.abbreviations_of(sentences.word_counts(_documents(spark, sf_dir)))
+    known = sentences.abbreviations_of(sentences.type_counts(_documents(spark, sf_dir)))
     return known.select("type", F.round("score", 5).alias("score"))
 
 

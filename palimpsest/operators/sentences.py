@@ -62,21 +62,33 @@ def _held(df: DataFrame) -> bool:
     return (df.agg(F.sum(F.octet_length("type") + 32)).first()[0] or 0) <= HELD_BYTES
 
 
-def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(token, n): the words of all texts."""
-    each = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    return texts.select(F.explode(each).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+def _type_counts(words: DataFrame) -> DataFrame:
+    """(type, period, n) of (token, n)."""
+    return _typed(words).groupBy("type", "period").agg(F.sum("n").alias("n"))
+
+
+def type_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(type, period, n): the words of all texts, counted where they are read before they are looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high in _slices(b.column(0)):
+                found = pc.value_counts(_words(b.column(0).slice(low, high - low))[0])
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["token", "n"])
+
+    counted = texts.select(F.col(text).alias("text")).mapInArrow(run, "token string, n long")
+    return _type_counts(counted.groupBy("token").agg(F.sum("n").alias("n")))
 
 
 def abbreviations(rows: DataFrame) -> DataFrame:
     """(type, score) of the words that are abbreviations, from the rows of ``tokens``."""
-    return abbreviations_of(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    return abbreviations_of(_type_counts(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))))
 
 
-def abbreviations_of(words: DataFrame) -> DataFrame:
-    """``abbreviations`` from the rows of ``word_counts``."""
+def abbreviations_of(types: DataFrame) -> DataFrame:
+    """``abbreviations`` from the rows of ``type_counts``."""
     times = lambda said: F.sum(F.when(said, F.col("n")).otherwise(0))
-    counts = _typed(words).where(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(times(F.col("period")).alias("with"), times(~F.col("period")).alias("without"))
+    counts = types.where(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(times(F.col("period")).alias("with"), times(~F.col("period")).alias("without"))
     total = counts.agg(F.sum("with").alias("n_periods"), F.sum(F.col("with") + F.col("without")).alias("n"))
     scored = counts.where(F.col("with") > 0).join(F.broadcast(total), F.lit(True))
     share = F.col("n_periods") / F.col("n")
@@ -107,17 +119,17 @@ def _may_end(token: Column) -> Column:
 
 def starters(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(type, score) of the words that start sentences; ``known``: the abbreviations."""
-    return starters_of(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")), rows.where(_may_end(F.col("token"))).select("token", "following"), known)
+    return starters_of(_type_counts(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))), rows.where(_may_end(F.col("token"))).select("token", "following"), known)
 
 
-def starters_of(words: DataFrame, ends: DataFrame, known: DataFrame) -> DataFrame:
-    """``starters`` from the rows of ``word_counts`` and (token, following) of the words that can end a sentence."""
+def starters_of(types: DataFrame, ends: DataFrame, known: DataFrame) -> DataFrame:
+    """``starters`` from the rows of ``type_counts`` and (token, following) of the words that can end a sentence."""
     known = F.broadcast(known) if _held(known) else known
     ended = _ends(ends.where(F.col("following").isNotNull()), known).where(F.col("kind") == "end")
     behind = _typed(ended.groupBy(F.col("following").alias("token")).agg(F.count(F.lit(1)).alias("n")))
     first = _kept(behind.groupBy("type").agg(F.sum("n").alias("ab")), "behind")
-    counts = _typed(words).where(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(F.sum("n").alias("b"))
-    totals = words.agg(F.sum("n").alias("n")).join(first.agg(F.sum("ab").alias("a")), F.lit(True))
+    counts = types.where(F.col("type").rlike(r"\p{L}")).groupBy("type").agg(F.sum("n").alias("b"))
+    totals = types.agg(F.sum("n").alias("n")).join(first.agg(F.sum("ab").alias("a")), F.lit(True))
     s = counts.join(first, "type").join(F.broadcast(totals), F.lit(True))
     a, b, ab, n = (F.col(x).cast("double") for x in ("a", "b", "ab", "n"))
     log = lambda x: F.ln(F.greatest(x, F.lit(1e-300)))
@@ -180,9 +192,9 @@ def ends_of(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def taught_by(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The abbreviations and the sentence starters of texts, each (type, score)."""
-    words = _kept(word_counts(texts, text), "words")
-    known = _kept(abbreviations_of(words), "abbreviations")
-    return known, starters_of(words, ends_of(texts, text), known)
+    types = _kept(type_counts(texts, text), "types")
+    known = _kept(abbreviations_of(types), "abbreviations")
+    return known, starters_of(types, ends_of(texts, text), known)
 
 
 def _last(words: pa.Array, goes_on: np.ndarray, known: pa.Array, first: pa.Array) -> np.ndarray:

@@ -4,7 +4,9 @@ import collections
 import math
 import random
 
+import oracle
 import pytest
+from palimpsest.jobs import language_jobs
 from palimpsest.operators import ngram, sentences
 
 LESSON = ["the cat sat on the mat", "the cat ran", "a dog sat on a cat", ""]
@@ -95,3 +97,21 @@ def test_sentences_are_not_shuffled(spark):
     df = spark.createDataFrame([(k, "The cat sat. It ran.") for k in range(50)], "k int, text string")
     plan = sentences.split(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_starters_shuffle_counts_only(spark):
+    """What is shuffled follows the different words of a task; before, every word met the abbreviations by a shuffle."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    n_words = sentences.tokens(language_jobs._documents(spark, oracle.SF_DIR), ["doc_id"]).count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        assert language_jobs.learned_starters(spark, oracle.SF_DIR).collect()
+        assert written() - before < n_words / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
