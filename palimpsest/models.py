@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,28 +81,60 @@ def rewriter_prompt(text: Column) -> Column:
     return F.concat(F.lit("Rewrite: "), text)
 
 
-def critic_prompt(text: Column, draft: Column, history: Column) -> Column:
-    """``history``: array of the feedback of earlier steps."""
-    return F.concat_ws("\n", F.concat(F.lit("Source: "), text), F.concat(F.lit("Draft: "), draft), F.concat(F.lit("Earlier: "), F.array_join(history, "; ")))
+def critic_prompt(text: str | None, draft: str | None, history: list[str | None]) -> str:
+    """``history``: the feedback of earlier steps. What is missing is left out."""
+    said = [None if text is None else f"Source: {text}", None if draft is None else f"Draft: {draft}", "Earlier: " + "; ".join(h for h in history if h is not None)]
+    return "\n".join(x for x in said if x is not None)
 
 
-def refiner_prompt(draft: Column, feedback: Column) -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("Draft: "), draft), F.concat(F.lit("Feedback: "), feedback))
+def refiner_prompt(draft: str | None, feedback: str | None) -> str:
+    said = [None if draft is None else f"Draft: {draft}", None if feedback is None else f"Feedback: {feedback}"]
+    return "\n".join(x for x in said if x is not None)
+
+
+#: Rows and characters of text that are refined at a time.
+ROWS_AT_ONCE, TEXT_AT_ONCE = 64, 1 << 20
+
+
+def _refined(texts: list[str], model: Model, steps: int) -> Iterator[list[tuple]]:
+    """For each step (text, draft, feedback) of every text; null draft and feedback at step 0."""
+    now, history = texts, [[] for _ in texts]
+    yield [(t, None, None) for t in now]
+    for _ in range(steps):
+        drafts = model.generate(["" if t is None else f"Rewrite: {t}" for t in now])
+        said = model.generate([critic_prompt(*x) for x in zip(now, drafts, history, strict=True)])
+        now = model.generate([refiner_prompt(*x) for x in zip(drafts, said, strict=True)])
+        for h, feedback in zip(history, said, strict=True):
+            h.append(feedback)
+        yield list(zip(now, drafts, said, strict=True))
 
 
 def self_refine(plan: DataFrame, load: Callable[[], Model], steps: int = 3) -> DataFrame:
     """In each step a draft is written, criticised in view of the earlier feedback, and refined: a row per step with
-    the refined text, the draft and the feedback (null at step 0)."""
-    ask = replies(load)
+    the refined text, the draft and the feedback (null at step 0).
+
+    All steps of a few rows are made by one worker, which loads the model once and gives them away before it takes the
+    next: prompts grow with the steps, and are held for those rows only.
+    """
     keys = [c for c in plan.columns if c != "text"]
-    none = F.lit(None).cast("string")
-    state = plan.select(*keys, F.coalesce("text", F.lit("")).alias("e0"), F.array().cast("array<string>").alias("history"))
-    for k in range(1, steps + 1):
-        state = state.withColumn(f"d{k}", ask(rewriter_prompt(F.col(f"e{k - 1}"))))
-        state = state.withColumn(f"c{k}", ask(critic_prompt(F.col(f"e{k - 1}"), F.col(f"d{k}"), F.col("history"))))
-        state = state.withColumn(f"e{k}", ask(refiner_prompt(F.col(f"d{k}"), F.col(f"c{k}")))).withColumn("history", F.concat("history", F.array(f"c{k}")))
-    row = lambda k: F.struct(F.lit(k).alias("step"), F.col(f"e{k}").alias("text"), (F.col(f"d{k}") if k else none).alias("draft_text"), (F.col(f"c{k}") if k else none).alias("critic_feedback"))
-    return state.select(*keys, F.explode(F.array(*map(row, range(steps + 1)))).alias("r")).select(*keys, "r.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for b in batches:
+            size, low = 0, 0
+            lengths = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()
+            for k, n in enumerate([*lengths, None]):
+                if k > low and (n is None or k - low == ROWS_AT_ONCE or size + n > TEXT_AT_ONCE):
+                    own = [b.column(c).slice(low, k - low) for c in keys]
+                    texts = [t or "" for t in b.column("text").slice(low, k - low).to_pylist()]
+                    for step, rows in enumerate(_refined(texts, model, steps)):
+                        columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array([step] * len(rows), pa.int32()), *columns], names=[*keys, "step", "text", "draft_text", "critic_feedback"])
+                    low, size = k, 0
+                size += n or 0
+
+    kinds = dict(plan.dtypes)
+    return plan.select(*keys, "text").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "step int, text string, draft_text string, critic_feedback string"]))
 
 
 def listed_facts(df: DataFrame, load: Callable[[], Model], prompt: Callable[[Column], Column] = lambda c: c) -> DataFrame:

@@ -88,3 +88,22 @@ def test_incremental_scoring(spark, tmp_path):
         stream = spark.readStream.schema("k int, text string").parquet(src)
         score_stream(stream, lambda df: df.select("k", F.size(F.split("text", " ")).alias("n")), ["k"], dst, f"{tmp_path}/cp").awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(dst).collect()} == {(1, 2), (2, 1), (3, 3)} and spark.read.parquet(dst).count() == 3
+
+
+def test_refining_takes_one_worker_a_task(spark, monkeypatch):
+    """All calls of the model are made by one Python worker, a few rows at a time; before, each of the six had a worker of its own."""
+    texts = [("x" * n if n else None) for n in (0, 5, 900, 900, 2000, 10, *[1] * 200)]
+    plan = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    sizes = spark.sparkContext.accumulator(0)
+
+    class Echo:
+        def generate(self, prompts):
+            sizes.add(len(prompts) > models.ROWS_AT_ONCE)
+            return [p[:50] for p in prompts]
+
+    out = models.self_refine(plan, Echo, 2)
+    said = out._jdf.queryExecution().executedPlan().toString()
+    assert said.count("MapInArrow") == 1 and "ArrowEvalPython" not in said
+    rows = out.collect()
+    assert len(rows) == 3 * len(texts) and {(r.k, r.text) for r in rows if r.step == 0} == {(k, t or "") for k, t in enumerate(texts)} and sizes.value == 0
+    assert models.self_refine(plan.limit(0), Echo, 2).count() == 0
